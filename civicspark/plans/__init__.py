@@ -3,5 +3,7 @@
 from civicspark.plans.registry import ORACLES, QUERIES  # noqa: F401
 from civicspark.plans import (  # noqa: F401
     q_analytics,
+    q_reshape,
+    q_resolve,
     q_state,
 )

@@ -20,8 +20,12 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+_OPENED: dict[tuple[str, str], object] = {}
+
+
 class Tables:
-    """Lazy readers: ``t.orders`` is the orders table of this scale."""
+    """Lazy readers: ``t.orders`` is the orders table of this scale. The tables never change, so a
+    reader (schema and file list, no data) is opened once per application."""
 
     def __init__(self, spark, sf_dir: str):
         self.spark = spark
@@ -33,4 +37,7 @@ class Tables:
     def __getattr__(self, name: str):
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(self.path(name))
+        key = (self.spark.sparkContext.applicationId, self.path(name))
+        if key not in _OPENED:
+            _OPENED[key] = self.spark.read.parquet(self.path(name))
+        return _OPENED[key]
