@@ -15,6 +15,8 @@ META_COLUMNS = ("Kennziffer", "Merkmal_1", "Merkmal_2", "Merkmal_3", "Merkmal_4"
 PERIOD_COLUMNS = ("Jahr", "year", "Periode", "periode", "period", "Datum", "datum", "date")
 SPATIAL_COLUMNS = ("Ortsteil", "ortsteil", "Stadtbezirk", "stadtbezirk", "Wahlbezirk", "wahlbezirk",
                    "Briefwahlbezirk", "briefwahlbezirk", "Gebiet")
+# fixed values: first three letters of the German month names
+MONTHS = ("jan", "feb", "mär", "apr", "mai", "jun", "jul", "aug", "sep", "okt", "nov", "dez")
 NAME_SEPARATOR = " · "
 DEFAULT_KEY = "Leipzig"
 
@@ -101,20 +103,14 @@ def parse_period(label: Column, default_year: Column | None = None) -> tuple[Col
     default_year = F.lit(None).cast("int") if default_year is None else default_year
     year = F.nullif(F.regexp_extract(label, r"\b((?:19|20)\d{2})\b", 1), F.lit("")).cast("int")
     quarter = F.nullif(F.regexp_extract(label, r"^\s*([1-4])\.\s*Qu", 1), F.lit("")).cast("int")
-    month = F.nullif(F.regexp_extract(label, r"^\s*\w+\.?\s", 0), F.lit(""))
-    month_no = reduce(
-        lambda acc, m: acc.when(F.lower(F.substring(F.trim(month), 1, 3)) == m[1], m[0]),
-        # fixed values: first three letters of the German month names
-        list(enumerate(("jan", "feb", "mär", "apr", "mai", "jun", "jul", "aug", "sep", "okt", "nov", "dez"),
-                       start=1))[1:],
-        F.when(F.lower(F.substring(F.trim(month), 1, 3)) == "jan", 1),
-    )
+    word = F.lower(F.regexp_extract(label, r"^\s*(\p{L}{3})", 1))
+    month = F.nullif(F.array_position(F.array(*map(F.lit, MONTHS)), word), F.lit(0)).cast("int")
     found = year.isNotNull()
     return (
         F.when(found, label).otherwise(F.coalesce(default_year.cast("string"), F.lit(""))),
         F.coalesce(year, default_year),
         F.when(found, quarter),
-        F.when(found, month_no),
+        F.when(found, month),
     )
 
 

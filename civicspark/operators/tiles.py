@@ -120,10 +120,17 @@ def _simplified(ring, tolerance: float):
 
 
 @F.pandas_udf(T.ArrayType(T.ArrayType(T.ArrayType(T.ArrayType(T.DoubleType())))))
-def simplify(coords: pd.Series, tolerance: pd.Series) -> pd.Series:
-    """Shapes thinned to a tolerance, Arrow batch by batch."""
+def _simplify_batch(coords: pd.Series, tolerance: pd.Series) -> pd.Series:
     return pd.Series([
-        None if shape is None else [[_simplified(ring, tol) for ring in poly] for poly in shape]
-        for shape, tol in zip(coords, tolerance)])
+        [[_simplified(ring, tol) for ring in poly] for poly in shape] for shape, tol in zip(coords, tolerance)])
 
 
+def simplify(coords: Column, tolerance: Column) -> Column:
+    """Shapes thinned to a tolerance, Arrow batch by batch; empty shapes pass unchanged.
+
+    A stand-in takes their place on the way to Python: Arrow cannot hand over a batch of nested
+    lists that are all empty."""
+    filled = F.coalesce(geo.point_count(coords) > 0, F.lit(False))
+    origin = F.array(F.lit(0.0), F.lit(0.0))
+    stand_in = F.array(F.array(F.array(origin, origin)))
+    return F.when(filled, _simplify_batch(F.when(filled, coords).otherwise(stand_in), tolerance)).otherwise(coords)

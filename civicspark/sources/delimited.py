@@ -14,8 +14,8 @@ def sniff_separator(header: str, default: str = ",") -> str:
 
 
 def is_utf8(spark: SparkSession, path: str) -> bool:
-    """False when decoding left a replacement character; stops at the first one found."""
-    return spark.read.text(path).where(F.col("value").contains("�")).isEmpty()
+    """Whether every line is valid UTF-8; stops at the first one that is not."""
+    return spark.read.text(path).where(~F.is_valid_utf8("value")).isEmpty()
 
 
 def read_delimited(spark: SparkSession, path: str, separator: str | None = None, encoding: str | None = None,
