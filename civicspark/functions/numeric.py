@@ -8,6 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from civicspark.session import settled
+
 
 def pearson(x: Column, y: Column) -> Column:
     """Pearson r as an aggregate; NULL below two pairs or without variance.
@@ -58,51 +60,58 @@ def pearson_p_value(r: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series(values, dtype="float64").where(lambda s: s.notna(), None)
 
 
-def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median",
-                 buckets: int = 65536) -> DataFrame:
-    """Exact per-group median without holding a group in one task.
+MEDIAN_BUCKETS = 65536
 
-    Value counts are cut into equal-width buckets per group; running totals over the at most
-    ``buckets`` bucket counts find the bucket that holds the middle ranks, and only its values
-    are ordered. The built-in exact percentile would keep all distinct values of a group in
-    one buffer.
-    """
-    freq = (
-        df.where(F.col(value).isNotNull())
-        .select(*keys, F.col(value).cast("double").alias("_v"))
-        .groupBy(*keys, "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    span = freq.groupBy(*keys).agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("_n")
-    )
-    spot = F.when(
-        F.col("_hi") > F.col("_lo"),
-        F.least(
-            F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * buckets),
-            F.lit(buckets - 1),
-        ),
-    ).otherwise(F.lit(0))
-    placed = freq.join(span, keys).withColumn("_b", spot.cast("int"))
+
+def bucket_of(value: Column, lo: Column, hi: Column, buckets: int) -> Column:
+    """Equal-width bucket of a value; the largest value belongs to the last bucket."""
+    return F.when(
+        hi > lo, F.least(F.floor((value - lo) / (hi - lo) * buckets), F.lit(buckets - 1))
+    ).otherwise(F.lit(0)).cast("int")
+
+
+def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median",
+                 buckets: int = MEDIAN_BUCKETS) -> DataFrame:
+    """Exact median per group."""
+    return describe_groups(df, keys, value, buckets=buckets).where("non_null > 0").select(
+        *keys, F.col("median").alias(out))
+
+
+def describe_groups(df: DataFrame, keys: list[str], value: str, *extra: Column,
+                    buckets: int = MEDIAN_BUCKETS) -> DataFrame:
+    """n, non_null, min, max, mean, sample deviation and exact median per group.
+
+    No pass shuffles raw values or holds a group in one task, as an exact percentile aggregate would.
+    The first pass aggregates, which gives each group's range. The second counts values per
+    equal-width bucket of that range; running totals over those counts find the buckets holding the
+    middle ranks. Only the values of these buckets are counted one by one and ordered in the third."""
+    rows = df.withColumn("_v", F.col(value).cast("double"))
+    stats = settled(
+        rows.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("n"), F.count("_v").alias("non_null"), F.min("_v").alias("min"),
+            F.max("_v").alias("max"), F.avg("_v").alias("mean"), F.stddev_samp("_v").alias("stddev"), *extra),
+        "group-stats")
+    span = stats.where("non_null > 0").select(
+        *keys, F.col("min").alias("_lo"), F.col("max").alias("_hi"), F.col("non_null").alias("_n"))
+    placed = rows.where("_v is not null").select(*keys, "_v").join(span, keys).withColumn(
+        "_b", bucket_of(F.col("_v"), F.col("_lo"), F.col("_hi"), buckets))
     first, second = F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)
-    upto = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    middle = (
+    below = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    middle = settled(
         placed.groupBy(*keys, "_b")
-        .agg(F.sum("_c").alias("_bc"), F.max("_n").alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_bc").over(upto), F.lit(0)))
+        .agg(F.count(F.lit(1)).alias("_bc"), F.max("_n").alias("_n"))
+        .withColumn("_before", F.coalesce(F.sum("_bc").over(below), F.lit(0)))
         .where((F.col("_before") <= second) & (F.col("_before") + F.col("_bc") > first))
-        .select(*keys, "_b", "_before")
-    )
+        .select(*keys, "_b", "_before"),
+        "median-buckets")
+    counted = placed.join(middle, [*keys, "_b"]).groupBy(*keys, "_b", "_v").agg(
+        F.count(F.lit(1)).alias("_c"), F.max("_before").alias("_before"), F.max("_n").alias("_n"))
     inside = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = placed.join(middle, [*keys, "_b"]).withColumn(
-        "_at", F.col("_before") + F.coalesce(F.sum("_c").over(inside), F.lit(0))
-    )
+    ranked = counted.withColumn("_at", F.col("_before") + F.coalesce(F.sum("_c").over(inside), F.lit(0)))
 
     def value_at(rank):
         return F.max(F.when((F.col("_at") <= rank) & (rank < F.col("_at") + F.col("_c")), F.col("_v")))
 
-    return (
-        ranked.groupBy(*keys)
-        .agg(value_at(first).alias("_v1"), value_at(second).alias("_v2"))
-        .select(*keys, (F.col("_v1") + (F.col("_v2") - F.col("_v1")) * 0.5).alias(out))
-    )
+    median = ranked.groupBy(*keys).agg(value_at(first).alias("_v1"), value_at(second).alias("_v2")).select(
+        *keys, (F.col("_v1") + (F.col("_v2") - F.col("_v1")) * 0.5).alias("median"))
+    return stats.join(median, keys, "left")

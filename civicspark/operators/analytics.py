@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from civicspark.functions.numeric import pearson
 from civicspark.operators.state import newest_per_key
+from civicspark.session import settled
 
 
 def newest_in_year() -> list[Column]:
@@ -204,13 +205,14 @@ def diverging_position(score: Column) -> Column:
 # --- polynomial fit -------------------------------------------------------------------------------
 
 def power_sums(df: DataFrame, keys: list[str], x: str, y: str, degree: int) -> DataFrame:
-    """Sufficient statistics of a polynomial fit on standardised x: one row per group, two passes
-    of partial aggregation, whatever the group size."""
+    """Sufficient statistics of a polynomial fit on standardised x: one row per group from two
+    passes of partial aggregation, whatever the group size."""
     pts = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    scale = pts.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(x).alias("mx"), F.stddev_pop(x).alias("sx"), F.avg(y).alias("my"),
-        F.min(x).alias("xmin"), F.max(x).alias("xmax"),
-    )
+    scale = settled(
+        pts.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("n"), F.avg(x).alias("mx"), F.stddev_pop(x).alias("sx"), F.avg(y).alias("my"),
+            F.min(x).alias("xmin"), F.max(x).alias("xmax")),
+        "fit-scale")
     t = (F.col(x) - F.col("mx")) / F.nullif(F.col("sx"), F.lit(0.0))
     yc = F.col(y) - F.col("my")
     sums = [F.sum(F.pow(t, k)).alias(f"s{k}") for k in range(2 * degree + 1)]

@@ -5,20 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from civicspark.functions import text as tx
-from civicspark.functions.numeric import exact_median
+from civicspark.functions.numeric import bucket_of, describe_groups
 from civicspark.operators.state import top_per_key
+from civicspark.session import settled
 
 BUCKETS = 20  # fixed value
 NUMERIC_SHARE = 0.8  # fixed value
 PROPERTY_SAMPLE, MAX_PROPERTY_KEYS, MAX_NUMERIC_PROPERTIES = 2000, 12, 8  # fixed values
 
 
-def _describe(value: str) -> list[Column]:
-    return [
-        F.count(F.lit(1)).alias("n"), F.count(value).alias("non_null"), F.min(value).alias("min"), F.max(value).alias("max"),
-        F.avg(value).alias("mean"), F.stddev_samp(value).alias("stddev")]
-
-
 def _null_share() -> Column:
     return 1 - F.col("non_null") / F.nullif(F.col("n"), F.lit(0))
 
@@ -31,8 +26,7 @@ def profile_numeric(df: DataFrame, columns: list[str], keys: list[str] | None =
 
 
 def numeric_groups(long: DataFrame, keys: list[str], value: str, *extra: Column) -> DataFrame:
-    stats = long.groupBy(*keys).agg(*_describe(value), *extra)
-    return stats.join(exact_median(long, keys, value), keys, "left").withColumn("null_share", _null_share())
+    return describe_groups(long, keys, value, *extra).withColumn("null_share", _null_share())
 
 
 def profile_categorical(df: DataFrame, columns: list[str], k: int = 10) -> tuple[DataFrame, DataFrame]:
@@ -93,11 +87,9 @@ def histogram(df: DataFrame, keys: list[str], value: str, buckets: int = BUCKETS
     """Equal-width histogram per group: the largest value falls into the last bucket, empty buckets
     count zero, a constant group has one bucket, an empty group none."""
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    span = rows.groupBy(*keys).agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"))
-    spot = F.when(
-        F.col("hi") > F.col("lo"),
-        F.least(F.floor((F.col("_v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * buckets), F.lit(buckets - 1)),
-    ).otherwise(F.lit(0)).cast("int")
+    # settled, so that the rows meet a broadcast of the ranges instead of a shuffle
+    span = settled(rows.groupBy(*keys).agg(F.min("_v").alias("lo"), F.max("_v").alias("hi")), "histogram-range")
+    spot = bucket_of(F.col("_v"), F.col("lo"), F.col("hi"), buckets)
     counted = rows.join(span, keys).groupBy(*keys, spot.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     last = F.when(F.col("hi") > F.col("lo"), buckets - 1).otherwise(0)
     frame = span.withColumn("bucket", F.explode(F.sequence(F.lit(0), last)))

@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+MAX_LISTED_PARTITIONS = 500
+
 
 def newest_per_key(df: DataFrame, keys, order: list[Column]) -> DataFrame:
     """One row per key by ``order``. Spark limits each map task to one row per key before the
@@ -194,8 +196,7 @@ def upsert_path(spark: SparkSession, path: str, batch: DataFrame, keys, order: l
     if missing:
         raise ValueError(f"partition columns outside the key: {missing}")
     if _exists(spark, path):
-        touched = batch.select(*parts).distinct()
-        current = spark.read.schema(batch.schema).parquet(path).join(touched, parts, "left_semi")
+        current = _touched(spark.read.schema(batch.schema).parquet(path), batch, parts)
         merged = (
             replace_snapshot(current, batch, snapshot_scope, keys, order)
             if snapshot_scope
@@ -212,6 +213,19 @@ def upsert_path(spark: SparkSession, path: str, batch: DataFrame, keys, order: l
     )
 
 
+def _touched(stored: DataFrame, batch: DataFrame, parts: list[str]) -> DataFrame:
+    """Stored rows in the partitions of the batch. A short list of partitions becomes a static filter,
+    so other folders are not even opened; a long one stays a join."""
+    seen = batch.select(*parts).distinct()
+    listed = seen.limit(MAX_LISTED_PARTITIONS + 1).collect()
+    if len(listed) > MAX_LISTED_PARTITIONS:
+        return stored.join(seen, parts, "left_semi")
+    if len(parts) == 1:
+        return stored.where(F.col(parts[0]).isin([row[0] for row in listed]))
+    same = lambda row: reduce(lambda a, b: a & b, [F.col(p).eqNullSafe(F.lit(row[p])) for p in parts])
+    return stored.where(any_of([same(row) for row in listed]))
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

@@ -60,7 +60,7 @@ def spectrum_options(t: Tables):
 _SPECTRUM = _SHARES + """, sp AS (SELECT election_type, year, level, spatial_code, gebiet_name, round(round(sum(party_position * share_pct) FILTER (WHERE party_position IS NOT NULL)
    / nullif(sum(share_pct) FILTER (WHERE party_position IS NOT NULL), 0), 10), 4) score,
   round(round(coalesce(sum(share_pct) FILTER (WHERE party_position IS NOT NULL), 0), 10), 2) coverage_pct, round(max(turnout_pct), 4) turnout_pct,
-  string_agg(party_name, '|' ORDER BY share_pct DESC, party_name) FILTER (WHERE party_position IS NOT NULL) || '|Sonstige' parties FROM eps GROUP BY 1, 2, 3, 4, 5)
+  string_agg(party_name, '|' ORDER BY share_pct DESC, party_name) FILTER (WHERE party_position IS NOT NULL) || CASE WHEN sum(share_pct) FILTER (WHERE party_position IS NULL) > 0 THEN '|Sonstige' ELSE '' END parties FROM eps GROUP BY 1, 2, 3, 4, 5)
 """
 
 

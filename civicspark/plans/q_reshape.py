@@ -164,9 +164,10 @@ def prop_alias(t: Tables):
         F.count(F.lit(1)).alias("n"))
 
 
-@query("election_unpivot", ctes("election_all") + """
-SELECT year, gebiet_code, gebiet_name, party, CAST(left(party, 1) AS INTEGER) party_index, zweitstimmen, wahlberechtigte,
-  waehler, gueltige_zweit, waehler - gueltige_zweit ungueltige_zweit FROM election_all
+@query("election_unpivot", ctes("election_all") + """, areas AS (SELECT DISTINCT year, gebiet_code, gebiet_name, wahlberechtigte, waehler, gueltige_zweit FROM election_all)
+SELECT a.year, a.gebiet_code, a.gebiet_name, p.party, p.party_index, e.zweitstimmen, a.wahlberechtigte, a.waehler, a.gueltige_zweit, a.waehler - a.gueltige_zweit ungueltige_zweit
+FROM areas a CROSS JOIN (VALUES ('1-URGENT', 1), ('2-HIGH', 2), ('3-MEDIUM', 3), ('4-NOT SPECIFIED', 4), ('5-LOW', 5)) p(party, party_index)
+LEFT JOIN election_all e ON e.year = a.year AND e.gebiet_code = a.gebiet_code AND e.party = p.party
 """)
 def election_unpivot(t: Tables):
     parties = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "civicspark", cores: str | int = "*", **conf: str) -> SparkSession:
@@ -43,3 +43,14 @@ def work_path(spark: SparkSession, name: str) -> str:
         app = spark.sparkContext.applicationId
         base = _LOCAL_BASE.setdefault(app, tempfile.mkdtemp(prefix="civicspark-"))
     return f"{base.rstrip('/')}/civicspark/{name}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """A derived side table written to the shared folder and read back.
+
+    Spark then knows its real size and broadcasts it only below its threshold, instead of shuffling
+    the large side of a join because the size of an aggregate is unknown. The files also survive a
+    lost executor."""
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
