@@ -24,6 +24,11 @@ def pearson(x: Column, y: Column) -> Column:
     )
 
 
+def settled_round(col: Column, digits: int) -> Column:
+    """Rounded so that the last bits of a double cannot tip a half."""
+    return F.round(F.round(col, 10), digits)
+
+
 def _beta_fraction(a: float, b: float, x: float) -> float:
     """Continued fraction of the incomplete beta function, evaluated from the tail."""
     value = 1.0

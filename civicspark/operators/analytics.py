@@ -98,6 +98,15 @@ def correlation_grid(wide: DataFrame, code: str, series: list[str], long: DataFr
     ).where(F.col("n") >= minimum)
 
 
+def scale_comparison(grid: DataFrame, level: str, child: str, parent: str, keys: list[str]) -> DataFrame:
+    """The same correlations on two area levels side by side, with their difference."""
+    at = lambda lv, c: F.max(F.when(F.col(level) == lv, F.col(c)))
+    both = grid.where(F.col(level).isin(child, parent)).groupBy(*keys).agg(
+        at(child, "n").alias("n_child"), at(parent, "n").alias("n_parent"),
+        at(child, "r").alias("r_child"), at(parent, "r").alias("r_parent"))
+    return both.where("n_child is not null and n_parent is not null").withColumn("delta", F.col("r_parent") - F.col("r_child"))
+
+
 def compute_shares(counts: DataFrame, keys: list[str], ratios: dict[str, tuple[str, str]]) -> DataFrame:
     """Ratios from counts (name, metric, value); a missing or zero denominator gives no share."""
     needed = sorted({m for pair in ratios.values() for m in pair})

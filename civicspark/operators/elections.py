@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from civicspark.functions.numeric import settled_round
 from civicspark.operators.analytics import versioned_boundaries
 from civicspark.operators.state import newest_per_key
 
@@ -19,11 +20,6 @@ def percent(part: Column, whole: Column, digits: int = 2) -> Column:
     return F.round((part * 100).cast(wide) / F.nullif(whole, F.lit(0)).cast(wide), digits).cast("double")
 
 
-def settled(col: Column, digits: int) -> Column:
-    """Rounded so that the summation order of doubles cannot tip a half."""
-    return F.round(F.round(col, 10), digits)
-
-
 def party_aliases(parties: DataFrame) -> DataFrame:
     """(alias_norm, party_key) from names and aliases of the curated registry."""
     spelled = parties.select(
@@ -83,16 +79,16 @@ def spectrum(shares: DataFrame, keys: list[str]) -> DataFrame:
     weighted = F.sum(F.when(known, F.col("party_position") * F.col("share_pct")))
     others = F.sum(F.when(F.col("party_position").isNull(), F.col("share_pct")))
     entry = F.struct((-F.col("share_pct")).alias("rank"), F.col("party_name").alias("name"), F.col("party_key").alias("key"),
-                     settled(F.col("share_pct"), 2).alias("share"), F.col("party_color").alias("color"))
+                     settled_round(F.col("share_pct"), 2).alias("share"), F.col("party_color").alias("color"))
     grouped = shares.groupBy(*keys).agg(
         covered.alias("_cov"), weighted.alias("_w"), others.alias("_oth"), F.max("turnout_pct").alias("turnout_pct"),
         F.array_sort(F.collect_list(F.when(known, entry))).alias("_list"))
     shown = F.transform("_list", lambda e: F.struct(e["key"].alias("key"), e["name"].alias("name"), e["share"].alias("share"), e["color"].alias("color")))
     rest = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.lit(OTHERS).alias("name"),
-                            settled(F.col("_oth"), 2).alias("share"), F.lit(OTHERS_COLOR).alias("color")))
+                            settled_round(F.col("_oth"), 2).alias("share"), F.lit(OTHERS_COLOR).alias("color")))
     return grouped.select(
-        *keys, settled(F.when(F.col("_cov") > 0, F.col("_w") / F.col("_cov")), 4).alias("score"),
-        settled(F.coalesce("_cov", F.lit(0.0)), 2).alias("coverage_pct"), "turnout_pct",
+        *keys, settled_round(F.when(F.col("_cov") > 0, F.col("_w") / F.col("_cov")), 4).alias("score"),
+        settled_round(F.coalesce("_cov", F.lit(0.0)), 2).alias("coverage_pct"), "turnout_pct",
         F.when(F.col("_oth") > 0, F.concat(shown, rest)).otherwise(shown).alias("parties"))
 
 

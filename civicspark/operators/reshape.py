@@ -155,11 +155,9 @@ def generic_to_long(df: DataFrame, dataset_id: Column, unit: str = "city", key_c
         *carry, *[F.col(f"`{m}`") for m in metrics],
     )
     long = _unpivot(wide, ids, metrics, "metric_name", "_raw")
-    return (
-        long.withColumn("metric_value", tx.parse_number(F.col("_raw")))
-        .where("metric_value is not null")
-        .drop("_raw")
-    )
+    # the guard filters, so the pattern runs once per cell and only numbers are converted
+    numbers = long.where(tx.is_number(F.col("_raw")))
+    return numbers.withColumn("metric_value", tx.to_number(F.col("_raw"))).drop("_raw")
 
 
 def stamp_contracts(contracts: DataFrame, members: DataFrame, hints: DataFrame) -> DataFrame:

@@ -252,7 +252,7 @@ _ROLLUP = ctes("stats_long", "boundaries") + YEAR_COUNTS + """, up AS (
 
 
 def _rolled(t: Tables):
-    parents = roles.boundaries(t).where("boundary_type = 'nation'")
+    parents = roles.boundaries_of_nations(t)
     return an.rollup_to_parent(_year_counts(t, "nation").drop("spatial_unit"), parents)
 
 
@@ -302,33 +302,33 @@ PARTIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 SERIES = [*PARTIES, "turnout"]
 
 
-def _vote_shares(t: Tables, unit: str):
-    """One row per area and year: a share column per party, and turnout."""
-    e = roles.election_results(t)
-    code = F.col("spatial_code")
-    if unit == "region":
-        up = roles.boundaries(t).where("boundary_type = 'nation'").select(
-            F.col("code").alias("spatial_code"), F.col("parent_code"))
-        e, code = e.join(up, "spatial_code"), F.col("parent_code")
-    per_area = e.groupBy(code.alias("area"), "year").agg(
+def _vote_shares(t: Tables):
+    """One row per level, area and year: a share column per party, and turnout. Both levels come from
+    one pass; region figures are summed from counts."""
+    up = roles.boundaries_of_nations(t).select(
+        F.col("code").alias("spatial_code"),
+        F.array(F.struct(F.lit("nation").alias("unit"), F.col("code").alias("area")),
+                F.struct(F.lit("region").alias("unit"), F.col("parent_code").alias("area"))).alias("levels"))
+    e = roles.election_results(t).join(up, "spatial_code").select("*", F.inline("levels"))
+    per_area = e.groupBy("unit", "area", "year").agg(
         *[F.sum(F.when(F.col("party") == p, F.col("zweitstimmen"))).alias(p) for p in PARTIES],
         F.sum("zweitstimmen").alias("_valid"),
         F.sum(F.when(F.col("party") == PARTIES[0], F.col("waehler"))).alias("_voters"),
         F.sum(F.when(F.col("party") == PARTIES[0], F.col("wahlberechtigte"))).alias("_eligible"),
     )
     return per_area.select(
-        "area", "year", *[(F.col(f"`{p}`") / F.nullif(F.col("_valid"), F.lit(0))).alias(p) for p in PARTIES],
+        F.struct("unit", "area", "year").alias("spot"),
+        *[(F.col(f"`{p}`") / F.nullif(F.col("_valid"), F.lit(0))).alias(p) for p in PARTIES],
         (F.col("_voters") / F.nullif(F.col("_eligible"), F.lit(0))).alias("turnout"))
 
 
-def _grid(t: Tables, unit: str):
-    counts = _year_counts(t, unit).withColumnRenamed("spatial_code", "area").withColumnRenamed("period_year", "year")
-    shares = an.compute_shares(counts, ["area", "year"], RATIOS).unpivot(
-        ["area", "year"], list(RATIOS), "indicator", "value").where("value is not null")
-    votes = _vote_shares(t, unit)
-    return an.correlation_grid(
-        votes.withColumn("spot", F.struct("area", "year")).drop("area", "year"), "spot", SERIES,
-        shares.withColumn("spot", F.struct("area", "year")), ["indicator"], "value")
+def _grid(t: Tables):
+    """Correlations on both levels, (unit, indicator, series, r, n)."""
+    counts = _year_counts(t).withColumnsRenamed({"spatial_unit": "unit", "spatial_code": "area", "period_year": "year"})
+    shares = an.compute_shares(counts, ["unit", "area", "year"], RATIOS).unpivot(
+        ["unit", "area", "year"], list(RATIOS), "indicator", "value").where("value is not null")
+    spots = shares.select("unit", F.struct("unit", "area", "year").alias("spot"), "indicator", "value")
+    return an.correlation_grid(_vote_shares(t), "spot", SERIES, spots, ["unit", "indicator"], "value")
 
 
 def _grid_sql(unit: str, area: str) -> str:
@@ -355,7 +355,7 @@ SELECT indicator, series, n, round(r, 4) r, CASE WHEN abs(r) > 0.7 THEN 'strong'
   WHEN r IS NOT NULL THEN 'weak' END strength FROM g_nation
 """)
 def corr_grid(t: Tables):
-    return _grid(t, "nation").select("indicator", "series", "n", r(F.col("r")).alias("r"),
+    return _grid(t).where("unit = 'nation'").select("indicator", "series", "n", r(F.col("r")).alias("r"),
                                      an.strength(F.col("r")).alias("strength"))
 
 
@@ -364,11 +364,9 @@ SELECT indicator, series, a.n n_child, b.n n_parent, round(a.r, 4) r_child, roun
 FROM g_nation a JOIN g_region b USING (indicator, series)
 """)
 def maup_delta(t: Tables):
-    child = _grid(t, "nation").select("indicator", "series", F.col("n").alias("n_child"), F.col("r").alias("rc"))
-    parent = _grid(t, "region").select("indicator", "series", F.col("n").alias("n_parent"), F.col("r").alias("rp"))
-    return child.join(parent, ["indicator", "series"]).select(
-        "indicator", "series", "n_child", "n_parent", r(F.col("rc")).alias("r_child"), r(F.col("rp")).alias("r_parent"),
-        r(F.col("rp") - F.col("rc")).alias("delta")).orderBy(F.abs("delta").desc(), "indicator", "series")
+    return an.scale_comparison(_grid(t), "unit", "nation", "region", ["indicator", "series"]).select(
+        "indicator", "series", "n_child", "n_parent", r(F.col("r_child")).alias("r_child"), r(F.col("r_parent")).alias("r_parent"),
+        r(F.col("delta")).alias("delta")).orderBy(F.abs("delta").desc(), "indicator", "series")
 
 
 # --- choropleth --------------------------------------------------------------------------------------

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from civicspark.functions import geo
+from civicspark.functions import geo, numeric
 from civicspark.operators import state as st
 from civicspark.plans import roles
 from civicspark.plans.registry import Tables, query
@@ -301,11 +301,11 @@ def derived_cols(t: Tables):
 
 
 @query("park_ride_latest", ctes("live_feed") + """
-SELECT site_id, site_name, total total_spaces, occupied occupied_spaces, round(CASE WHEN total > 0 THEN occupied / total * 100 END, 1) occupancy_pct FROM (
+SELECT site_id, site_name, total total_spaces, occupied occupied_spaces, round(round(CASE WHEN total > 0 THEN occupied / total * 100 END, 10), 1) occupancy_pct FROM (
  SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY measured_at DESC, event_id DESC) rn FROM live_feed) WHERE rn = 1
 """)
 def park_ride_latest(t: Tables):
     newest = st.newest_per_key(roles.live_feed(t), ["site_id"], [F.desc("measured_at"), F.desc("event_id")])
     pct = F.when(F.col("total") > 0, F.col("occupied") / F.col("total") * 100)
     return newest.select("site_id", "site_name", F.col("total").alias("total_spaces"), F.col("occupied").alias("occupied_spaces"),
-                         F.round(pct, 1).alias("occupancy_pct"))
+                         numeric.settled_round(pct, 1).alias("occupancy_pct"))

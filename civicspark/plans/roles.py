@@ -174,13 +174,17 @@ FROM lineitem
 
 # --- geography ---------------------------------------------------------------------------------
 
-def boundaries(t: Tables):
-    """nation under region (codes), and ortsteil under stadtbezirk from part names (real words)."""
-    nation = t.nation.select(
+def boundaries_of_nations(t: Tables):
+    return t.nation.select(
         F.lit("nation").alias("boundary_type"), _code(F.col("n_nationkey")).alias("code"),
         F.col("n_name").alias("name"), F.col("n_regionkey").cast("string").alias("parent_code"),
         F.lit(0).alias("boundary_year"),
     )
+
+
+def boundaries(t: Tables):
+    """nation under region (codes), and ortsteil under stadtbezirk from part names (real words)."""
+    nation = boundaries_of_nations(t)
     region = t.region.select(
         F.lit("region"), F.col("r_regionkey").cast("string"), F.col("r_name"), F.lit(None).cast("string"), F.lit(0)
     )
