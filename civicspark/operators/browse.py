@@ -6,10 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from civicspark.functions import text as tx
 from civicspark.operators.resolve import foreign_level
-from civicspark.operators.state import any_of, newest_per_key, top_per_key
-
-SEARCH_ORDER = ("core.election_results", "core.geo_features", "core.statistics", "core.traffic_restrictions")
-
+from civicspark.operators.state import any_of, top_per_key
 
 def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
     """One page; the order must name a unique key so that pages do not overlap."""
@@ -142,15 +139,13 @@ def catalog_search(catalog: DataFrame, categories: DataFrame, text: str | None)
         "theme_title", F.coalesce("theme_title", "theme"))
 
 
-def case_extract(stats: DataFrame, bounds: DataFrame, pins: list[tuple[str, str]], unit: str, year: int | None) -> DataFrame:
-    """Pinned (dataset, metric) pairs on one level, without rows named after another level."""
-    chosen = any_of([(F.col("dataset_id") == d) & (F.col("metric_name") == m) for d, m in pins])
-    rows = stats.where(chosen & (F.col("spatial_unit") == unit) & F.col("spatial_code").isNotNull())
+def case_extract(stats: DataFrame, bounds: DataFrame, pins: DataFrame, unit: str, year: int | None = None) -> DataFrame:
+    """Rows of pinned (dataset_id, metric_name) pairs on one level, without rows named after another
+    level."""
+    rows = stats.where((F.col("spatial_unit") == unit) & F.col("spatial_code").isNotNull())
     if year is not None:
         rows = rows.where(F.col("period_year") == year)
-    clean = foreign_level(rows, bounds, "spatial_unit", "spatial_key").where(~F.col("is_foreign"))
-    return clean.select("spatial_code", "spatial_key", "dataset_id", "metric_name", "metric_value").distinct()
-
-
-def newest_by(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
-    return newest_per_key(df, keys, [F.desc(c) for c in order])
+    chosen = rows.join(pins, ["dataset_id", "metric_name"], "left_semi")
+    picked = chosen.select("spatial_unit", "spatial_code", "spatial_key", "dataset_id", "metric_name", "metric_value").distinct()
+    clean = foreign_level(picked, bounds, "spatial_unit", "spatial_key").where(~F.col("is_foreign"))
+    return clean.select("spatial_code", "spatial_key", "dataset_id", "metric_name", "metric_value")

@@ -60,7 +60,9 @@ def append_absent(history: DataFrame, batch: DataFrame, keys, time_col: str) ->
     """History plus batch rows whose key is not stored yet; rows without a time are skipped.
     The batch is reduced to one row per key first."""
     fresh = batch.where(F.col(time_col).isNotNull()).dropDuplicates(list(keys))
-    new = fresh.join(history.select(*keys), list(keys), "left_anti")
+    # older rows cannot match, so the scan of the history starts at the oldest reading of the batch
+    since = batch.agg(F.min(time_col)).scalar()
+    new = fresh.join(history.where(F.col(time_col) >= since).select(*keys), list(keys), "left_anti")
     return history.unionByName(new)
 
 
@@ -186,7 +188,7 @@ def list_marker(values: Column) -> Column:
 
 
 def upsert_path(spark: SparkSession, path: str, batch: DataFrame, keys, order: list[Column],
-                parts: list[str], snapshot_scope=None) -> None:
+                parts: list[str], snapshot_scope=None, merge=None) -> None:
     """Keyed upsert into a Parquet folder partitioned by ``parts``.
 
     Only the partitions the batch touches are read and rewritten (dynamic overwrite). Running the
@@ -197,11 +199,12 @@ def upsert_path(spark: SparkSession, path: str, batch: DataFrame, keys, order: l
         raise ValueError(f"partition columns outside the key: {missing}")
     if _exists(spark, path):
         current = _touched(spark.read.schema(batch.schema).parquet(path), batch, parts)
-        merged = (
-            replace_snapshot(current, batch, snapshot_scope, keys, order)
-            if snapshot_scope
-            else merge_latest(current, batch, keys, order)
-        )
+        if snapshot_scope:
+            merged = replace_snapshot(current, batch, snapshot_scope, keys, order)
+        elif merge:
+            merged = merge(current, newest_per_key(batch, keys, order))
+        else:
+            merged = merge_latest(current, batch, keys, order)
     else:
         merged = newest_per_key(batch, keys, order)
     (

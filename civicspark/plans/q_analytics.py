@@ -419,11 +419,13 @@ def versioned_boundary_join(t: Tables):
         F.sum("n").alias("n"), F.sum("total").cast("double").alias("total"))
 
 
-@query("case_extract", ctes("facts", "boundaries") + """
-SELECT DISTINCT spatial_code, spatial_key, dataset_id, metric_name, metric_value FROM facts
-WHERE ((dataset_id, metric_name) IN (('1', 'menge_O_1'), ('2', 'menge_F_2'), ('3', 'menge_O_3'), ('7', 'menge_F_1')))
-  AND spatial_unit = 'ortsteil' AND spatial_code IS NOT NULL
+@query("case_extract", ctes("facts") + """
+SELECT DISTINCT spatial_code, spatial_key, dataset_id, metric_name, metric_value
+FROM facts JOIN part ON dataset_id = CAST(p_partkey AS VARCHAR) AND metric_name = 'menge_O_' || (1 + p_size % 7)
+WHERE spatial_unit = 'ortsteil' AND spatial_code IS NOT NULL
 """)
 def case_extract(t: Tables):
-    pins = [("1", "menge_O_1"), ("2", "menge_F_2"), ("3", "menge_O_3"), ("7", "menge_F_1")]
-    return browse.case_extract(roles.facts(t), roles.boundaries(t), pins, "ortsteil", None)
+    pins = t.part.select(
+        F.col("p_partkey").cast("string").alias("dataset_id"),
+        F.concat(F.lit("menge_O_"), (1 + F.col("p_size") % 7).cast("string")).alias("metric_name"))
+    return browse.case_extract(roles.facts(t), roles.boundaries(t), pins, "ortsteil")

@@ -241,7 +241,7 @@ def route_target(t: Tables):
 
 @query("change_detect", """
 WITH has AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = 'A' AND l_linenumber = 1)
-SELECT CAST(p_partkey AS VARCHAR) dataset_id, CASE WHEN p_size % 5 = 0 THEN 'new' WHEN p_size % 4 = 0 THEN 'changed'
+SELECT CAST(p_partkey AS VARCHAR) dataset_id, CASE WHEN p_size <= 10 THEN 'new' WHEN p_size > 40 THEN 'changed'
   WHEN p_brand = 'Brand#2' AND l_partkey IS NULL THEN 'reload' ELSE 'unchanged' END status
 FROM part LEFT JOIN has ON l_partkey = p_partkey
 """)
@@ -249,7 +249,7 @@ def change_detect(t: Tables):
     tag = F.md5(F.concat("p_name", F.col("p_size").cast("string")))
     key = F.col("p_partkey").cast("string").alias("dataset_id")
     manifest = t.part.select(key, tag.alias("etag"), (F.col("p_brand") == "Brand#2").alias("forced"))
-    stored = t.part.where("p_size % 5 <> 0").select(key, F.when(F.col("p_size") % 4 == 0, "old").otherwise(tag).alias("etag"))
+    stored = t.part.where("p_size > 10").select(key, F.when(F.col("p_size") > 40, "old").otherwise(tag).alias("etag"))
     loaded = t.lineitem.where("l_returnflag = 'A' and l_linenumber = 1").select(F.col("l_partkey").cast("string").alias("dataset_id"))
     return rs.change_status(manifest, stored, loaded, F.col("forced")).select("dataset_id", "status")
 

@@ -14,11 +14,3 @@ STATISTICS_KEY = ("dataset_id", "period_label", "spatial_unit", "spatial_key", "
 FEATURE_KEY = ("dataset_id", "dedup_key")
 COUNT_KEY = ("counter_id", "count_period", "period_start")
 ELECTION_KEY = ("election_id", "level", "gebiet_code", "party")
-
-GEOJSON_COLLECTION = (
-    "type string, crs string, features array<struct<type:string, id:string, "
-    "geometry:struct<type:string, coordinates:string>, properties:string>>"
-)
-GEOJSON_FEATURE = (
-    "type string, id string, geometry struct<type:string, coordinates:string>, properties string"
-)

@@ -36,7 +36,7 @@ def work_path(spark: SparkSession, name: str) -> str:
     Only a local master may fall back to a temporary folder: on a cluster such
     a folder would exist on one machine only.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir is unset; name a folder every executor can reach")

@@ -8,9 +8,10 @@ from civicspark.functions import geo
 
 ENVELOPES = ("values", "data")  # fixed values
 
-_FEATURE = "type:string, id:string, geometry:struct<type:string, coordinates:string>, properties:string"
+FEATURE_FIELDS = "type:string, id:string, geometry:struct<type:string, coordinates:string>, properties:string"
 # one schema fits a collection and a bare feature, so arrays of features and feature lines work too
-GEOJSON = f"type string, crs string, features array<struct<{_FEATURE}>>, id string, " \
+FEATURE = "type string, id string, geometry struct<type:string, coordinates:string>, properties string"
+GEOJSON = f"type string, crs string, features array<struct<{FEATURE_FIELDS}>>, id string, " \
           "geometry struct<type:string, coordinates:string>, properties string"
 
 
