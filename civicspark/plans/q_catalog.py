@@ -319,11 +319,11 @@ def metrics_grouped(t: Tables):
 
 # --- browse ----------------------------------------------------------------------------------------------
 
-@query("dataset_list", ctes("registry") + """, h AS (SELECT * FROM registry WHERE schedule = 'nightly' AND list_contains(categories, 'economy') AND (lower(title) LIKE '%gear%' OR dataset_id LIKE '%gear%'))
+@query("dataset_list", ctes("registry") + """, h AS (SELECT * FROM registry WHERE schedule = 'nightly' AND list_contains(categories, 'economy') AND (lower(title) LIKE '%g%' OR dataset_id LIKE '%g%'))
 SELECT dataset_id, title, best_format, (SELECT count(*) FROM h) total FROM h ORDER BY title, dataset_id LIMIT 50 OFFSET 5
 """)
 def dataset_list(t: Tables):
-    hits = br.dataset_list(roles.registry(t), schedule="nightly", category="economy", search="GEAR")
+    hits = br.dataset_list(roles.registry(t), schedule="nightly", category="economy", search="G")
     total = hits.agg(F.count(F.lit(1))).scalar()
     return br.page(hits.select("dataset_id", "title", "best_format"), [F.asc("title"), F.asc("dataset_id")], 50, 5).withColumn("total", total)
 

@@ -9,6 +9,7 @@ from civicspark.operators import state as st
 from civicspark.plans import roles
 from civicspark.plans.registry import Tables, query
 from civicspark.plans.roles import ctes
+from civicspark.session import settled
 
 _POINT = "'POINT(' || c_custkey * 37 % 700 || ' ' || c_custkey * 91 % 300 || ')'"
 
@@ -158,7 +159,7 @@ SELECT boundary_type, code, name, boundary_year FROM boundaries WHERE boundary_t
 UNION ALL SELECT boundary_type, code, upper(name), boundary_year FROM boundaries WHERE boundary_type = 'ortsteil' AND name LIKE '%gear%'
 """)
 def boundary_snapshot(t: Tables):
-    b = roles.boundaries(t).drop("parent_code")
+    b = settled(roles.boundaries(t).drop("parent_code"), "boundaries")
     fresh = b.where("boundary_type = 'ortsteil' and name like '%gear%'").withColumn("name", F.upper("name"))
     return st.replace_snapshot(b, fresh, ["boundary_type", "boundary_year"], ["boundary_type", "code", "boundary_year"], [F.asc("name")])
 
