@@ -55,11 +55,20 @@ def _capped(tiles: DataFrame, cap: int) -> DataFrame:
     return top_per_key(tiles, ["z", "x", "y"], [F.asc("dataset_id"), F.asc("feature_id")], cap, [salt])
 
 
-def detail_tiles(features: DataFrame, zooms: list[int], datasets: list[str] | None = None, cap: int = TILE_CAP) -> DataFrame:
+def chosen_layers(features: DataFrame, datasets: list[str] | None, families: list[str] | None) -> DataFrame:
+    """Features of the named datasets or families; without names all of them."""
+    if datasets is None and families is None:
+        return features
+    wanted = F.col("dataset_id").isin(*(datasets or []))
+    return features.where(wanted | F.col("family_id").isin(*families) if families else wanted)
+
+
+def detail_tiles(features: DataFrame, zooms: list[int], datasets: list[str] | None = None,
+                 families: list[str] | None = None, cap: int = TILE_CAP) -> DataFrame:
     """Single features per tile for zooms from the detail zoom on."""
     if any(v < DETAIL_ZOOM for v in zooms):
         raise ValueError(f"detail tiles start at zoom {DETAIL_ZOOM}")
-    chosen = features if datasets is None else features.where(F.col("dataset_id").isin(*datasets))
+    chosen = chosen_layers(features, datasets, families)
     return _capped(assign_tiles(chosen, zooms), cap).withColumn("point_count", F.lit(1))
 
 

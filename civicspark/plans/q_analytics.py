@@ -206,7 +206,7 @@ def paired_fit(t: Tables):
 
 # --- counts, shares, roll-up -----------------------------------------------------------------------
 
-YEAR_COUNTS = """, yc AS (SELECT spatial_unit, spatial_code, period_year, metric_name, sum(metric_value) metric_value
+YEAR_COUNTS = """, yc AS (SELECT spatial_unit, spatial_code, period_year, metric_name, CAST(sum(CAST(metric_value AS DECIMAL(28,2))) AS DOUBLE) metric_value
  FROM stats_long WHERE dataset_id = 'orders' AND spatial_code IS NOT NULL GROUP BY 1, 2, 3, 4)
 """
 RATIOS = {"urgent_share": ("urgent", "orders"), "order_value": ("revenue", "orders"),
@@ -217,8 +217,9 @@ def _year_counts(t: Tables, unit: str | None = None):
     s = roles.stats_long(t).where("dataset_id = 'orders' and spatial_code is not null")
     if unit:
         s = s.where(F.col("spatial_unit") == unit)
+    # money adds up in decimals, so the result does not depend on the order of the rows
     return s.groupBy("spatial_unit", "spatial_code", "period_year", "metric_name").agg(
-        F.sum("metric_value").alias("metric_value"))
+        F.sum(F.col("metric_value").cast("decimal(28,2)")).cast("double").alias("metric_value"))
 
 
 @query("compute_shares", ctes("stats_long") + YEAR_COUNTS + """

@@ -55,7 +55,7 @@ def election_party_shares(t: Tables):
 SELECT election_type, year, string_agg(DISTINCT level, '|') levels FROM eps WHERE EXISTS (SELECT 1 FROM (SELECT 'nation' boundary_type, 0 boundary_year) b WHERE b.boundary_type = eps.level AND (b.boundary_year = 0 OR b.boundary_year = eps.year)) GROUP BY 1, 2
 """)
 def spectrum_options(t: Tables):
-    return el.spectrum_options(_shares(t), settled(roles.boundaries(t), "boundaries")).withColumn("levels", F.array_join("levels", "|"))
+    return el.spectrum_options(settled(_shares(t), "shares-mart"), roles.boundaries(t)).withColumn("levels", F.array_join("levels", "|"))
 
 
 _SPECTRUM = _SHARES + """, sp AS (SELECT election_type, year, level, spatial_code, gebiet_name, round(round(sum(party_position * share_pct) FILTER (WHERE party_position IS NOT NULL)

@@ -20,7 +20,8 @@ def _feed(t: Tables):
 
 
 def _drain(t: Tables, writer, name: str) -> None:
-    live.start(writer, work_path(t.spark, f"{name}-checkpoint"), once=True).awaitTermination()
+    partitions = t.spark.sparkContext.defaultParallelism
+    live.start(writer, work_path(t.spark, f"{name}-checkpoint"), once=True, state_partitions=partitions).awaitTermination()
 
 
 _STAMP = "yyyy-MM-dd HH:mm:ss"

@@ -528,24 +528,21 @@ _role("exact_results", f"SELECT * FROM election_all WHERE year >= {EXACT_FROM}",
 
 def share_statistics(t: Tables):
     """The second source: published vote shares and turnout as long statistics, all years."""
-    e = election_results(t)
-    shares = e.select(
+    row = lambda name, value: F.struct(name.alias("metric_name"), value.alias("metric_value"))
+    # both metrics in one pass; the turnout repeats per party, and distinct folds it
+    return election_results(t).select(
         F.concat(F.lit("kd_"), "election_type").alias("dataset_id"), F.col("year").alias("period_year"),
         F.col("level").alias("spatial_unit"), F.col("gebiet_name").alias("spatial_key"), "spatial_code",
-        F.concat(F.lit("Stimmenanteile "), "party").alias("metric_name"),
-        (F.col("zweitstimmen") * 100.0 / F.col("gueltige_zweit")).alias("metric_value"),
-    )
-    turnout = e.select("election_type", "year", "level", "gebiet_name", "spatial_code", "waehler",
-                       "wahlberechtigte").distinct().select(
-        F.concat(F.lit("kd_"), "election_type"), "year", "level", "gebiet_name", "spatial_code",
-        F.lit("Wahlbeteiligung"), F.col("waehler") * 100.0 / F.col("wahlberechtigte"))
-    return shares.union(turnout)
+        F.inline(F.array(
+            row(F.concat(F.lit("Stimmenanteile "), "party"), F.col("zweitstimmen") * 100.0 / F.nullif(F.col("gueltige_zweit"), F.lit(0))),
+            row(F.lit("Wahlbeteiligung"), F.col("waehler") * 100.0 / F.col("wahlberechtigte")))),
+    ).distinct()
 
 
 _role("share_statistics", """
 SELECT 'kd_' || election_type AS dataset_id, year period_year, level spatial_unit, gebiet_name spatial_key,
        spatial_code, 'Stimmenanteile ' || party AS metric_name,
-       CAST(zweitstimmen AS DOUBLE) * 100 / gueltige_zweit metric_value FROM election_all
+       CAST(zweitstimmen AS DOUBLE) * 100 / nullif(gueltige_zweit, 0) metric_value FROM election_all
 UNION ALL
 SELECT DISTINCT 'kd_' || election_type, year, level, gebiet_name, spatial_code, 'Wahlbeteiligung',
        CAST(waehler AS DOUBLE) * 100 / wahlberechtigte FROM election_all

@@ -29,10 +29,22 @@ def file_feed(spark: SparkSession, folder: str, schema, fmt: str = "parquet", gl
     return reader.load(folder)
 
 
-def start(writer: DataStreamWriter, checkpoint: str, once: bool = False, every: str = LIVE_INTERVAL) -> StreamingQuery:
-    """Start on the live interval, or drain what is there and stop."""
+def start(writer: DataStreamWriter, checkpoint: str, once: bool = False, every: str = LIVE_INTERVAL,
+          state_partitions: int | None = None) -> StreamingQuery:
+    """Start on the live interval, or drain what is there and stop.
+
+    The number of state partitions is fixed for the life of a checkpoint. A query copies the session's
+    settings when it starts, so the given number holds for this query only."""
     writer = writer.option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
+    writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)
+    conf = SparkSession.active().conf
+    before = conf.get("spark.sql.shuffle.partitions")
+    try:
+        if state_partitions:
+            conf.set("spark.sql.shuffle.partitions", str(state_partitions))
+        return writer.start()
+    finally:
+        conf.set("spark.sql.shuffle.partitions", before)
 
 
 def append_sink(stream: DataFrame, path: str, parts: list[str] | None = None) -> DataStreamWriter:

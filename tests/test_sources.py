@@ -149,6 +149,9 @@ def test_tiles(spark):
     assert sum(r["point_count"] for r in clusters) >= 50 and len(clusters) < 10
     with pytest.raises(ValueError):
         tl.detail_tiles(feats, [13])
+    tagged = feats.withColumn("family_id", F.when(F.col("feature_id") < "2", "fam"))
+    assert tl.chosen_layers(tagged, ["x"], ["fam"]).count() == tl.chosen_layers(tagged, None, ["fam"]).count() == 12
+    assert tl.chosen_layers(tagged, ["d"], None).count() == 50
 
 
 def test_simplify(spark):
