@@ -1,5 +1,58 @@
-"""Corpus pipeline (stages follow)."""
-STAGES = []
+"""Corpus pipeline: quality classifier, exact dedup, near-dedup, mixing, BPE.
+
+Every stage takes (spark, docs, sf_dir); all but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from civicspark.llm import bpe, exact, minhash, mixing, ordinal
+from civicspark.llm.common import documents, labels
+from civicspark.session import settled
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose grade is at least 1 with probability one half or more."""
+    return ordinal.graded(docs, ordinal.ratings_of(labels(spark, sf_dir))).where("kept").select("doc.*")
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact.keep_first(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, that with the smallest id."""
+    return minhash.keep_one(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of sources: documents come as often as they are taken, cut where blocks cut them."""
+    return mixing.mixed_documents(docs)
+
+
+def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    tokens = bpe.decoded(bpe.encoded(docs))
+    return tokens.select(
+        "doc_id", "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("exact dedup", exact_dedup),
+    ("MinHash near-dedup", near_dedup),
+    ("mixing sources", mix),
+    ("BPE", tokenise),
+]
+
+#: The classifier, the signatures and the seeded blocks have no SQL counterpart; tests hold the stages against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = settled(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
