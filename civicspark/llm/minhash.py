@@ -9,8 +9,11 @@
 3. Links: in each bucket every node is compared with the smallest one (a star, never all pairs), the
    links that hold are joined to components, and only pairs of one bucket that are still in different
    components are compared afterwards. So every candidate pair is either compared or already known to be
-   connected. Pairs whose signatures agree in far too few places (8 standard deviations below) or whose
-   sizes rule out the similarity are not compared.
+   connected. Pairs whose signatures agree in far too few places (5.7 standard deviations below) or whose
+   sizes rule out the similarity are not compared. A bucket of more than 32 is compared in blocks: a task gets
+   the full sets of at most two blocks, counts all overlaps by a matrix product and returns only links
+   that join components, so no list of pairs arises. Small sets meet by the rarest of their
+   shingles instead, an exact prefix filter, since a common line alone fills their buckets.
 4. Verification reads both whole texts and compares the full sets: 100 * intersection >= 75 * union.
 5. Components: smallest labels spread along the links, with pointer jumping, until nothing changes;
    every round is a written table. No list of links or nodes reaches the driver.
@@ -94,7 +97,8 @@ def sketch(sig: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(bits << (np.arange(16, dtype=U64) * U64(4)), axis=1).view(np.int64)
 
 
-_SET = "id long, raw long, n long, node binary, bands array<long>, sketch array<long>"
+SMALL = 64
+_SET = "id long, raw long, n long, node binary, bands array<long>, sketch array<long>, few array<long>"
 
 
 def _sets(batches):
@@ -104,10 +108,11 @@ def _sets(batches):
             base = offsets[lo]
             hashes, rows = shingles(data[base:offsets[hi]], offsets[lo:hi + 1] - base)
             cuts = np.searchsorted(rows, np.arange(hi - lo + 1))
-            n, node, bands, sketches = [], [], [], []
+            n, node, bands, sketches, few = [], [], [], [], []
             for i in range(hi - lo):
                 own = np.unique(hashes[cuts[i]:cuts[i + 1]])
                 n.append(len(own))
+                few.append(own.view(np.int64) if len(own) <= SMALL else np.zeros(0, np.int64))
                 if len(own):
                     sig = signature(own)
                     node.append(xxhash.xxh3_128_digest(own.tobytes()))
@@ -120,7 +125,7 @@ def _sets(batches):
             ids = batch.slice(lo, hi - lo)
             yield pa.RecordBatch.from_arrays(
                 [ids.column("id"), ids.column("raw"), pa.array(n, pa.int64()), pa.array(node, pa.binary()),
-                 _lists(bands), _lists(sketches)], names=["id", "raw", "n", "node", "bands", "sketch"])
+                 _lists(bands), _lists(sketches), _lists(few)], names=["id", "raw", "n", "node", "bands", "sketch", "few"])
 
 
 def _lists(rows: list[np.ndarray]) -> pa.Array:
@@ -162,7 +167,7 @@ def _agreeing(a: str, b: str):
     return F.lit(K) - total
 
 
-LEAST_AGREEING = 56  # at similarity 0.75, 98 agree on average, with a standard deviation of about 5
+LEAST_AGREEING = 70  # at similarity 0.75, 98 agree on average, with a standard deviation of less than 4.9
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -182,13 +187,95 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+PAIRWISE = 32  # larger buckets are compared in blocks; the outcome is the same
+BLOCK = 512
+
+
+def _full_sets(batches):
+    for batch in batches:
+        data, offsets = text_buffers(batch.column("t"))
+        sets = [np.unique(shingles(data[a:b], np.array([0, b - a]))[0]).view(np.int64) for a, b in zip(offsets, offsets[1:], strict=False)]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), _lists(sets)], names=["s_id", "shingles"])
+
+
+def overlaps(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How many elements the sets (concatenated in ``flat``) share, pair by pair; elements that only one
+    set has are left out before the product."""
+    _, code, often = np.unique(flat, return_inverse=True, return_counts=True)
+    rows = np.repeat(np.arange(len(sizes)), sizes)
+    shared = often[code] > 1
+    rows, code = rows[shared], np.cumsum(often > 1)[code[shared]] - 1
+    total = np.zeros((len(sizes), len(sizes)), np.float32)
+    order = np.argsort(code, kind="stable")
+    rows, code = rows[order], code[order]
+    width = 4096
+    for start in range(0, int(code[-1]) + 1 if len(code) else 0, width):
+        lo, hi = np.searchsorted(code, [start, start + width])
+        x = np.zeros((len(sizes), width), np.float32)
+        x[rows[lo:hi], code[lo:hi] - start] = 1
+        total += x @ x.T
+    return total
+
+
+def _links_in_block(percent: int):
+    """Links of one block that join different labels, no more than are needed to join them."""
+
+    def links(table: pa.Table) -> pa.Table:
+        ids, label = table.column("id").to_numpy(), table.column("label").to_numpy()
+        lists = table.column("shingles").combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        sizes = np.diff(lists.offsets.to_numpy())
+        both = overlaps(lists.flatten().to_numpy(), sizes)
+        holds = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
+        names, root = np.unique(label, return_inverse=True)
+        a, b = [], []
+        todo = np.ones(len(names), bool)
+        member = [np.flatnonzero(root == k) for k in range(len(names))]
+        for k in range(len(names)):  # breadth first over labels
+            queue = [k] if todo[k] else []
+            todo[k] = False
+            while queue:
+                own = member[queue.pop()]
+                reach = holds[own]
+                for v in np.flatnonzero(reach.any(axis=0)):
+                    if todo[root[v]]:
+                        todo[root[v]] = False
+                        queue.append(root[v])
+                        u = own[np.argmax(reach[:, v])]
+                        a.append(min(ids[u], ids[v]))
+                        b.append(max(ids[u], ids[v]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return links
+
+
+def _small_pairs(short: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of small sets (id, n, label, few) that can hold and have different labels.
+
+    Sets of n and s elements that hold share at least need = ceil(percent * (n + s) / (100 + percent)) of
+    them, hence one of the first n - need + 1 and s - need + 1 in any common order. With the rarest first,
+    what most texts share is not among them, so the sets of one hot bucket do not meet."""
+    each = short.select("id", F.explode("few").alias("s"))
+    rare = each.join(each.groupBy("s").agg(F.count(F.lit(1)).alias("df")), "s")
+    ranked = rare.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("ranked"))  # SMALL at most
+    sized = short.select("id", "n", "label").join(ranked, "id").select("*", F.explode(F.sequence(
+        F.ceil(F.col("n") * percent / 100).cast("long"), F.floor(F.col("n") * 100 / percent).cast("long"))).alias("m"))
+    need = F.ceil((F.col("n") + F.col("m")) * percent / (100 + percent)).cast("int")
+    keyed = sized.select("id", "n", "m", "label", F.explode(F.slice("ranked", F.lit(1), F.greatest(F.lit(0), F.col("n").cast("int") - need + 1))).alias("r"))
+    keyed = settled(keyed.select("id", "n", "m", "label", F.col("r.s").alias("s")), "small-keys")
+    x, y = (keyed.select(*[F.col(c).alias(f"{side}_{c}") for c in keyed.columns]) for side in "xy")
+    met = x.join(y, (F.col("x_s") == F.col("y_s")) & (F.col("x_n") == F.col("y_m")) & (F.col("x_m") == F.col("y_n"))
+                 & (F.col("x_id") < F.col("y_id")) & (F.col("x_label") != F.col("y_label")))
+    return met.select(F.col("x_id").alias("a"), F.col("y_id").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """One row per row of ``docs``: id, raw (hash of the text), n_shingles, component_id."""
     rows = settled(shingle_sets(docs, id_col, text_col), "shingle-sets")
     nodes = rows.where("n > 0").groupBy("node").agg(
         F.min("id").alias("id"), F.min(F.struct("id", "raw")).alias("rep"), F.first("n").alias("n"),
-        F.first("bands").alias("bands"), F.first("sketch").alias("sketch")).where("id is not null")
-    nodes = settled(nodes.select("node", "id", F.col("rep.raw").alias("raw"), "n", "bands", "sketch"), "nodes")
+        F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("few").alias("few")).where("id is not null")
+    nodes = settled(nodes.select("node", "id", F.col("rep.raw").alias("raw"), "n", "bands", "sketch", "few"), "nodes")
     buckets = nodes.select("id", "n", F.explode("bands").alias("bucket"))
     heads = buckets.groupBy("bucket").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
     members = settled(buckets.join(heads, "bucket").select("bucket", "id", "n", "head"), "buckets")
@@ -202,25 +289,44 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                           & (_agreeing("x_sketch", "y_sketch") >= LEAST_AGREEING)).select("a", "b")
         near = settled(near, "pairs")
         wanted = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()
+        texts = settled(texts_of(wanted), "texts").select("id", "t")
+        pair = near.join(texts.withColumnsRenamed({"id": "i", "t": "a_t"}), F.col("a") == F.col("i")).drop("i")
+        pair = pair.join(texts.withColumnsRenamed({"id": "i", "t": "b_t"}), F.col("b") == F.col("i"))
+        return settled(pair.select("a", "b", "a_t", "b_t").mapInArrow(_verify(percent), "a long, b long"), "links")
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
         wanted = wanted.join(nodes.select("id", "raw"), "id").select(F.col("id").alias("w_id"), F.col("raw").alias("w_raw"))
         t = body(text_col)
         texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(t).alias("raw"), t.alias("t"))
         texts = texts.join(wanted.hint("shuffle_hash"), (F.col("id") == F.col("w_id")) & (F.col("raw") == F.col("w_raw")), "left_semi")
-        texts = settled(texts.select("id", "raw", "t").dropDuplicates(["id", "raw"]), "texts").select("id", "t")
-        pair = near.join(texts.withColumnsRenamed({"id": "i", "t": "a_t"}), F.col("a") == F.col("i")).drop("i")
-        pair = pair.join(texts.withColumnsRenamed({"id": "i", "t": "b_t"}), F.col("b") == F.col("i"))
-        return settled(pair.select("a", "b", "a_t", "b_t").mapInArrow(_verify(percent), "a long, b long"), "links")
+        return texts.select("id", "raw", "t").dropDuplicates(["id", "raw"])
+
+    def in_blocks(crowded: DataFrame) -> DataFrame:
+        sets = texts_of(crowded.select("id").distinct()).select("id", "t").mapInArrow(_full_sets, "s_id long, shingles array<long>")
+        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+        dealt = crowded.select("bucket", "id", "label", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("own"))
+        dealt = dealt.select("bucket", "id", "label", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+        dealt = dealt.select("bucket", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"), "id", "label")
+        met = dealt.join(settled(sets, "crowded-sets"), F.col("id") == F.col("s_id")).drop("s_id")
+        return met.groupBy("bucket", "lo", "hi").applyInArrow(_links_in_block(percent), "a long, b long")
 
     links = checked(members.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")))
     labels = components(links)
     told = members.join(labels, F.col("id") == F.col("node"), "left").select("bucket", "id", "n", "head", F.coalesce("label", "id").alias("label"))
     mixed_up = told.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("bucket")
     open_ = settled(told.join(mixed_up, "bucket").where("id <> head").join(facts.select(F.col("id").alias("f"), "sketch"), F.col("id") == F.col("f")).drop("f", "head"), "open-buckets")
-    other = open_.select(*[F.col(c).alias(f"o_{c}") for c in open_.columns])
-    rest = open_.join(other, (F.col("bucket") == F.col("o_bucket")) & (F.col("id") < F.col("o_id")) & (F.col("label") != F.col("o_label"))
-                      & (100 * F.least("n", "o_n") >= percent * F.greatest("n", "o_n"))
-                      & (_agreeing("sketch", "o_sketch") >= LEAST_AGREEING))
-    more = checked(rest.select(F.col("id").alias("a"), F.col("o_id").alias("b")))
+    large = open_.where(100 * F.col("n") > percent * SMALL)  # those that may meet a set of more than SMALL
+    counts = large.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
+    large = settled(large.join(counts, "bucket"), "large-members")
+    lean = large.where(F.col("size") <= PAIRWISE)
+    other = lean.select(*[F.col(c).alias(f"o_{c}") for c in lean.columns])
+    rest = lean.join(other, (F.col("bucket") == F.col("o_bucket")) & (F.col("id") < F.col("o_id")) & (F.col("label") != F.col("o_label"))
+                     & (F.greatest("n", "o_n") > SMALL) & (100 * F.least("n", "o_n") >= percent * F.greatest("n", "o_n"))
+                     & (_agreeing("sketch", "o_sketch") >= LEAST_AGREEING))
+    short = open_.where(F.col("n") <= SMALL).select("id", "n", "label").distinct()
+    short = short.join(nodes.select(F.col("id").alias("f"), "few"), F.col("id") == F.col("f")).drop("f")
+    more = checked(rest.select(F.col("id").alias("a"), F.col("o_id").alias("b")).unionByName(_small_pairs(short, percent)))
+    more = settled(more.unionByName(in_blocks(large.where(F.col("size") > PAIRWISE))), "more-links")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     named = nodes.select(F.col("node").alias("g_node"), F.col("id").alias("g_id"))
