@@ -344,9 +344,10 @@ def op9_minhash(spark, sf_dir: str) -> DataFrame:
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its component (and those with a null id and no equal
-    set with ids), with all columns. Rows that share the kept id all stay only if their texts differ."""
+    set with ids), with all columns. Rows that share the kept id
+    stay if their texts differ; of rows that agree in both one stays."""
     found = near_duplicates(docs, id_col, text_col).where(F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull()))
     stay = found.select(F.col("id").alias("k_id"), F.col("raw").alias("k_raw")).distinct()
     packed = docs.select(F.struct("*").alias("doc"), F.col(id_col).cast("long").alias("d_id"), F.xxhash64(body(text_col)).alias("d_raw"))
     met = packed.join(stay.hint("shuffle_hash"), F.col("d_id").eqNullSafe(F.col("k_id")) & (F.col("d_raw") == F.col("k_raw")), "left_semi")
-    return met.select("doc.*")
+    return met.dropDuplicates(["d_id", "d_raw"]).select("doc.*")
