@@ -16,6 +16,7 @@ from civicspark.sources import archives, delimited, jsonfiles
 from civicspark.sources.tables import LAYOUT
 
 STATISTICS_API = "statistik.leipzig.de/opendata/api"  # fixed value
+UNDECODED = ("XLSX", "XLS", "ODS", "SHP", "GPKG")  # formats without a reader here
 RESOLVABLE_LEVELS = ("ortsteil", "stadtbezirk", "wahlbezirk")  # fixed value
 
 
@@ -114,6 +115,8 @@ def load_dataset(spark: SparkSession, contract: dict[str, Any], landed: str, fol
         return {**run, "status": "skipped", "note": detail}
     year = (contract.get("hints") or {}).get("year") or contract.get("family_year")
     fmt = contract["format"].upper()
+    if fmt in UNDECODED:
+        return {**run, "status": "skipped", "note": f"no reader for {fmt}; land it as CSV or GeoJSON"}
     short, sweep = (contract.get("name") or "")[:64], False
     if where == "by_content":
         zipped = archives.zip_rows(archives.read_binary(spark, landed))

@@ -11,7 +11,7 @@ from civicspark.session import settled
 
 BUCKETS = 20  # fixed value
 NUMERIC_SHARE = 0.8  # fixed value
-PROPERTY_SAMPLE, MAX_PROPERTY_KEYS, MAX_NUMERIC_PROPERTIES = 2000, 12, 8  # fixed values
+MAX_PROPERTY_KEYS = 12  # fixed value: keys of the report
 
 
 def _null_share() -> Column:
@@ -54,7 +54,7 @@ def profile_metrics(stats: DataFrame, k: int = 30) -> DataFrame:
     return numeric_groups(chosen, ["metric_name"], "metric_value", *years)
 
 
-def property_keys(features: DataFrame, sample: int | None = PROPERTY_SAMPLE, order: str = "feature_id",
+def property_keys(features: DataFrame, sample: int | None = None, order: str = "feature_id",
                   k: int = MAX_PROPERTY_KEYS) -> DataFrame:
     """Most frequent property keys and whether they look numeric. With ``sample`` only the first
     rows by ``order`` are looked at, as a bounded preview; None looks at all rows."""

@@ -6,8 +6,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-MAX_LISTED_PARTITIONS = 500
-
 
 def newest_per_key(df: DataFrame, keys, order: list[Column]) -> DataFrame:
     """One row per key by ``order``. Spark limits each map task to one row per key before the
@@ -34,6 +32,19 @@ def merge_latest(target: DataFrame, batch: DataFrame, keys, order: list[Column])
     return newest_per_key(both, keys, [F.desc("_side"), *order]).drop("_side")
 
 
+def merge_newest(target: DataFrame, batch: DataFrame, keys, order: list[Column]) -> DataFrame:
+    """Upsert of readings: ``order`` (the time) decides, the batch only between equals, so a late row never
+    replaces a newer one."""
+    both = target.withColumn("_side", F.lit(0)).unionByName(batch.withColumn("_side", F.lit(1)), allowMissingColumns=True)
+    return newest_per_key(both, keys, [*order, F.desc("_side")]).drop("_side")
+
+
+def same_values(left: DataFrame, right: DataFrame, columns, how: str) -> DataFrame:
+    """Semi or anti join on ``columns`` in which NULL equals NULL."""
+    other = right.select(*[F.col(c).alias(f"_same_{i}") for i, c in enumerate(columns)])
+    return left.join(other, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_same_{i}")) for i, c in enumerate(columns)]), how)
+
+
 def merge_statistics(target: DataFrame, batch: DataFrame, keys, order: Column) -> DataFrame:
     """Upsert of long statistics: the batch wins, but a missing unit keeps the stored one."""
     both = target.withColumn("_rank", F.struct(F.lit(0).alias("s"), order.alias("o"))).unionByName(
@@ -51,7 +62,7 @@ def replace_snapshot(target: DataFrame, batch: DataFrame, scope, keys, order: li
     """Full-snapshot load: inside the scopes present in the batch only batch rows survive.
     A scope without batch rows (failed or empty extraction) keeps all its rows."""
     seen = batch.select(*scope).distinct()
-    return target.join(seen, list(scope), "left_anti").unionByName(
+    return same_values(target, seen, list(scope), "left_anti").unionByName(
         newest_per_key(batch, keys, order), allowMissingColumns=True
     )
 
@@ -193,10 +204,12 @@ def upsert_path(spark: SparkSession, path: str, batch: DataFrame, keys, order: l
 
     Only the partitions the batch touches are read and rewritten (dynamic overwrite). Running the
     same batch again gives the same folder, so a retried micro-batch is harmless. The partition
-    columns must be part of the key."""
+    columns must be part of the key; NULL is a partition like any other. An empty batch changes nothing."""
     missing = [p for p in parts if p not in keys]
     if missing:
         raise ValueError(f"partition columns outside the key: {missing}")
+    if batch.isEmpty():
+        return
     if _exists(spark, path):
         current = _touched(spark.read.schema(batch.schema).parquet(path), batch, parts)
         if snapshot_scope:
@@ -217,16 +230,17 @@ def upsert_path(spark: SparkSession, path: str, batch: DataFrame, keys, order: l
 
 
 def _touched(stored: DataFrame, batch: DataFrame, parts: list[str]) -> DataFrame:
-    """Stored rows in the partitions of the batch. A short list of partitions becomes a static filter,
-    so other folders are not even opened; a long one stays a join."""
-    seen = batch.select(*parts).distinct()
-    listed = seen.limit(MAX_LISTED_PARTITIONS + 1).collect()
-    if len(listed) > MAX_LISTED_PARTITIONS:
-        return stored.join(seen, parts, "left_semi")
-    if len(parts) == 1:
-        return stored.where(F.col(parts[0]).isin([row[0] for row in listed]))
-    same = lambda row: reduce(lambda a, b: a & b, [F.col(p).eqNullSafe(F.lit(row[p])) for p in parts])
-    return stored.where(any_of([same(row) for row in listed]))
+    """Stored rows in the partitions of the batch, any number of them, NULL included. The range of each
+    partition column is a static filter, so folders outside it are not opened; the join does the rest."""
+    # an empty text and NULL share one folder
+    seen = batch.select(*[F.nullif(F.col(p), F.lit("")).alias(p) if batch.schema[p].dataType.simpleString() == "string" else F.col(p) for p in parts]).distinct()
+    ends = seen.agg(*[f(p).alias(f"{n}_{i}") for i, p in enumerate(parts) for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    for i, p in enumerate(parts):
+        if ends[f"lo_{i}"] is None:
+            stored = stored.where(F.col(p).isNull())
+        else:
+            stored = stored.where(F.col(p).isNull() | F.col(p).between(ends[f"lo_{i}"], ends[f"hi_{i}"]))
+    return same_values(stored, seen, parts, "left_semi")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

@@ -11,7 +11,6 @@ from civicspark.operators.state import top_per_key
 
 DETAIL_ZOOM = 14  # fixed value: from here on single features, below clusters
 TILE_MARGIN = 0.015625  # fixed value: buffer of a tile, as a share of its width
-TILE_CAP = 20000  # fixed value: most features per tile
 GRID_PARTS, SIMPLIFY_PARTS, DROP_PARTS = 64, 256, 512  # fixed values: divisors of the tile span
 
 
@@ -48,9 +47,11 @@ def with_bbox(features: DataFrame) -> DataFrame:
     return features.withColumns({"xmin": xmin, "ymin": ymin, "xmax": xmax, "ymax": ymax})
 
 
-def _capped(tiles: DataFrame, cap: int) -> DataFrame:
-    """The cap is part of the tile format. Ranking runs per (tile, salt) first, so a tile that holds a
+def _capped(tiles: DataFrame, cap: int | None) -> DataFrame:
+    """All features, or the first ``cap`` of each tile for a reader that asks for it. Ranking runs per (tile, salt) first, so a tile that holds a
     third of all features is spread over tasks."""
+    if cap is None:
+        return tiles
     salt = F.pmod(F.xxhash64("dataset_id", "feature_id"), F.lit(64))
     return top_per_key(tiles, ["z", "x", "y"], [F.asc("dataset_id"), F.asc("feature_id")], cap, [salt])
 
@@ -64,7 +65,7 @@ def chosen_layers(features: DataFrame, datasets: list[str] | None, families: lis
 
 
 def detail_tiles(features: DataFrame, zooms: list[int], datasets: list[str] | None = None,
-                 families: list[str] | None = None, cap: int = TILE_CAP) -> DataFrame:
+                 families: list[str] | None = None, cap: int | None = None) -> DataFrame:
     """Single features per tile for zooms from the detail zoom on."""
     if any(v < DETAIL_ZOOM for v in zooms):
         raise ValueError(f"detail tiles start at zoom {DETAIL_ZOOM}")
@@ -91,7 +92,7 @@ def visible_shapes(features: DataFrame, zooms: list[int]) -> DataFrame:
     return assign_tiles(shapes, zooms).where(size > span(F.col("z")) / DROP_PARTS)
 
 
-def shape_tiles(features: DataFrame, zooms: list[int], cap: int = TILE_CAP) -> DataFrame:
+def shape_tiles(features: DataFrame, zooms: list[int], cap: int | None = None) -> DataFrame:
     """Visible shapes simplified to the resolution of their zoom."""
     kept = _capped(visible_shapes(features, zooms), cap)
     return kept.withColumn("coords", simplify(F.col("coords"), span(F.col("z")) / SIMPLIFY_PARTS))

@@ -262,8 +262,9 @@ def norm_name(t: Tables):
 
 
 @query("slugify", """
-SELECT doc_id, left(trim(regexp_replace(replace(replace(replace(replace(lower(text), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss'),
-  '[^a-z0-9]+', '-', 'g'), '-'), 64) slug FROM documents
+WITH s AS (SELECT doc_id, trim(regexp_replace(replace(replace(replace(replace(lower(text), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss'),
+  '[^a-z0-9]+', '-', 'g'), '-') slug FROM documents)
+SELECT doc_id, CASE WHEN length(slug) > 64 THEN left(slug, 55) || '-' || left(md5(slug), 8) ELSE slug END slug FROM s
 """)
 def slugify(t: Tables):
     return t.documents.select("doc_id", tx.slugify(F.col("text")).alias("slug"))

@@ -15,7 +15,6 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from civicspark.operators import state as st
 
 LIVE_INTERVAL = "5 minutes"  # fixed value: polling interval of live feeds
-HISTORY_DELAY = "30 days"  # fixed value: the feed re-publishes this window
 
 
 def file_feed(spark: SparkSession, folder: str, schema, fmt: str = "parquet", glob: str | None = None,
@@ -60,7 +59,8 @@ def with_bucket(df: DataFrame, key: str, buckets: int = 16) -> DataFrame:
 
 def keyed_sink(stream: DataFrame, path: str, keys: list[str], order: Callable[[], list[Column]], parts: list[str],
                snapshot_scope: list[str] | None = None, log: str | None = None, mode: str = "append") -> DataStreamWriter:
-    """Upsert every micro-batch into a keyed folder; with a scope, sweep what the snapshot lost.
+    """Upsert every micro-batch into a keyed folder; with a scope, sweep what the snapshot lost. Without a
+    scope ``order`` decides between stored and new rows, so late rows do not replace newer ones.
 
     An empty batch changes nothing. With ``log`` the counts of each batch are kept per batch id."""
 
@@ -70,7 +70,8 @@ def keyed_sink(stream: DataFrame, path: str, keys: list[str], order: Callable[[]
         try:
             if batch.isEmpty():
                 return
-            st.upsert_path(spark, path, batch, keys, order(), parts, snapshot_scope)
+            newest = lambda old, new: st.merge_newest(old, new, keys, order())
+            st.upsert_path(spark, path, batch, keys, order(), parts, snapshot_scope, newest)
             if log:
                 counts = batch.agg(F.count(F.lit(1)).alias("rows_loaded"), F.count_distinct(*keys).alias("keys_loaded"))
                 counts.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option(
@@ -81,16 +82,19 @@ def keyed_sink(stream: DataFrame, path: str, keys: list[str], order: Callable[[]
     return stream.writeStream.foreachBatch(load).outputMode(mode)
 
 
-def unique_readings(stream: DataFrame, keys: list[str], ts: str, delay: str = HISTORY_DELAY) -> DataFrame:
-    """Each reading once, although the feed repeats its window; state older than the delay is dropped."""
-    return stream.where(F.col(ts).isNotNull()).withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
+def unique_readings(stream: DataFrame, keys: list[str], ts: str, delay: str | None = None) -> DataFrame:
+    """Each reading once, although the feed repeats its window. All keys are remembered, so a row of any
+    age counts; a ``delay`` bounds that state where older rows cannot come, and drops them if they do."""
+    timed = stream.where(F.col(ts).isNotNull())
+    return timed.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys) if delay else timed.dropDuplicates(keys)
 
 
-def daily_totals(stream: DataFrame, key: str, ts: str, value: Column, delay: str = "2 days") -> DataFrame:
-    """Running daily totals per key. Emitted in update mode, so a day shows up before it closes and
-    late readings inside the delay still count."""
+def daily_totals(stream: DataFrame, key: str, ts: str, value: Column, delay: str | None = None) -> DataFrame:
+    """Running daily totals per key. Emitted in update mode, so a day shows up before it closes; late
+    readings count, whatever their age. The state is a row per key and day; a ``delay`` bounds it where
+    older rows cannot come, and drops them if they do."""
     return (
-        stream.withWatermark(ts, delay)
+        (stream.withWatermark(ts, delay) if delay else stream)
         .groupBy(F.window(ts, "1 day"), key)
         .agg(F.sum(value).alias("total"), F.count(F.lit(1)).alias("readings"))
         .select(key, F.to_date("window.start").alias("day"), "total", "readings"))

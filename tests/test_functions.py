@@ -21,7 +21,7 @@ def test_norm_name(spark, raw, want):
 
 
 @pytest.mark.parametrize("raw, want", [
-    ("Straßen & Wege", "strassen-wege"), ("  Ämter (2020) ", "aemter-2020"), ("x" * 80, "x" * 64)])
+    ("Straßen & Wege", "strassen-wege"), ("  Ämter (2020) ", "aemter-2020"), ("x" * 80, "x" * 55 + "-46b05b91")])
 def test_slugify(spark, raw, want):
     assert one(spark, tx.slugify(F.col("c")), c=raw) == want
 
@@ -109,3 +109,14 @@ def test_exact_median_against_sorting(spark):
     df = spark.createDataFrame(rows, "g string, v double")
     got = {r["g"]: r["median"] for r in numeric.exact_median(df, ["g"], "v", buckets=8).collect()}
     assert got == {"even": 2.5, "odd": 5.0, "same": 4.0, "wide": 250000.0}
+
+
+def test_long_slugs_stay_different(spark):
+    texts = ["einwohner " * 20 + "a", "einwohner " * 20 + "b", "Kurz & gut"]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in texts], "t string").select(tx.slugify(F.col("t"))).collect()]
+    assert len(set(got)) == 3 and got[2] == "kurz-gut" and all(len(g) <= 64 for g in got)
+
+
+def test_numbers_are_finite(spark):
+    got = [r[0] for r in spark.createDataFrame([("1e400",), ("1,5",)], "t string").select(tx.parse_number(F.col("t"))).collect()]
+    assert got == [None, 1.5]

@@ -126,3 +126,30 @@ def test_retention_scope(spark):
     as_of = F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")
     assert got(st.within_retention(df, "t", as_of, 7), "k") == [("a",)]
     assert got(st.within_retention(df, "t", as_of, 7, F.col("k") == "a"), "k") == [("a",), ("b",)]
+
+
+def test_upsert_path_keeps_null_partitions(spark, tmp_path):
+    ddl, path = "a string, b string, k string, v int", str(tmp_path / "t")
+    keys, order = ["a", "b", "k"], [F.desc("v")]
+    st.upsert_path(spark, path, table(spark, [("x", None, "k1", 1), ("x", "y", "k2", 1), (None, None, "k4", 4)], ddl), keys, order, ["a", "b"])
+    for _ in range(2):  # a repeated batch changes nothing
+        st.upsert_path(spark, path, table(spark, [("x", None, "k3", 2), ("x", "y", "k2", 3), (None, None, "k5", 5)], ddl), keys, order, ["a", "b"])
+        got = sorted((r["k"], r["v"]) for r in spark.read.schema(ddl).parquet(path).collect())
+        assert got == [("k1", 1), ("k2", 3), ("k3", 2), ("k4", 4), ("k5", 5)]
+    st.upsert_path(spark, path, table(spark, [], ddl), keys, order, ["a", "b"])
+    assert spark.read.schema(ddl).parquet(path).count() == 5
+
+
+def test_upsert_path_with_one_null_partition_and_many_others(spark, tmp_path):
+    ddl, path = "p int, k string, v int", str(tmp_path / "t")
+    first = [(None, "n", 0), *[(i, "s", i) for i in range(600)]]
+    st.upsert_path(spark, path, table(spark, first, ddl), ["p", "k"], [F.desc("v")], ["p"])
+    st.upsert_path(spark, path, table(spark, [(None, "m", 1), *[(i, "t", i) for i in range(0, 600, 2)]], ddl), ["p", "k"], [F.desc("v")], ["p"])
+    assert spark.read.schema(ddl).parquet(path).count() == 601 + 301
+
+
+def test_newest_reading_survives_a_late_batch(spark):
+    ddl = "site string, at int, v int"
+    stored, late = table(spark, [("a", 5, 1), ("b", 5, 1)], ddl), table(spark, [("a", 3, 2), ("b", 5, 2)], ddl)
+    got = sorted(tuple(r) for r in st.merge_newest(stored, late, ["site"], [F.desc("at")]).collect())
+    assert got == [("a", 5, 1), ("b", 5, 2)]
