@@ -33,7 +33,12 @@ class Target:
         return f"{self.folder}/{self.name}"
 
     def upsert(self, spark: SparkSession, batch: DataFrame, sweep: bool = False) -> None:
+        """Rows numbered by ``_row``: of those with one key the last wins; a missing unit keeps an earlier one."""
         parts, _ = LAYOUT[self.name]
+        unit = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_row"))).alias(c) for c in batch.columns if c == "metric_unit"]
+        rest = [c for c in batch.columns if c not in (*self.keys, "_row", "metric_unit")]
+        last = batch.groupBy(*self.keys).agg(F.max_by(F.struct(*rest), "_row").alias("_last"), *unit)
+        batch = last.select("*", "_last.*").select(*[c for c in batch.columns if c != "_row"])
         order = [F.desc_nulls_last(c) for c in batch.columns if c not in (*self.keys, "coords")]
         merge = None
         if self.name == "statistics":
@@ -137,16 +142,17 @@ def load_dataset(spark: SparkSession, contract: dict[str, Any], landed: str, fol
         rows = (
             loaders.restriction_rows(feats, contract["id"], detail) if where == "traffic_restrictions"
             else loaders.feature_rows(feats, contract["id"], detail, year))
+        rows = _numbered(rows)
     elif where == "bicycle_counts":
-        rows = loaders.count_rows(_records(spark, contract, landed)).where("period_start is not null")
+        rows = _numbered(loaders.count_rows(_records(spark, contract, landed)).where("period_start is not null"))
     elif where == "election_results":
         rows = reshape.election_unpivot(_records(spark, contract, landed), election["parties"], election["vote_mode"], election["level"])
         rows = rows.withColumn("election_id", F.lit(election["election_id"])).withColumn("dataset_id", F.lit(contract["id"]))
-        rows = _with_codes(rows.withColumn("spatial_code", F.lit(None).cast("string")), boundaries, "level", "gebiet_code")
+        rows = _with_codes(_numbered(rows.withColumn("spatial_code", F.lit(None).cast("string"))), boundaries, "level", "gebiet_code")
     else:
         records = _json_rows(payload, "payload") if fmt == "ZIP" else _records(spark, contract, landed)
-        rows = _with_codes(statistics_rows(records, contract), boundaries, "spatial_unit", "spatial_key")
-        rows = rows.select(*[f.split()[0] for f in schemas.STATISTICS.split(", ")])
+        rows = _with_codes(_numbered(statistics_rows(records, contract)), boundaries, "spatial_unit", "spatial_key")
+        rows = rows.select(*[f.split()[0] for f in schemas.STATISTICS.split(", ")], "_row")
     rows = rows.persist()
     try:
         loaded = rows.count()

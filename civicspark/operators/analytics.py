@@ -188,13 +188,20 @@ def choropleth(stats: DataFrame, bounds: DataFrame, year: int | None = None, dat
 
 def versioned_boundaries(rows: DataFrame, bounds: DataFrame, unit: str = "spatial_unit", code: str = "spatial_code",
                          year: str = "period_year") -> DataFrame:
-    """Equi-join on level and code; the version condition is a residual of that join."""
-    b = bounds.select(F.col("boundary_type").alias("_bt"), F.col("code").alias("_bc"),
-                      F.col("name").alias("boundary_name"), F.col("boundary_year").alias("_by"))
-    return rows.join(
-        b, (F.col("_bt") == F.col(unit)) & (F.col("_bc") == F.col(code))
-        & ((F.col("_by") == 0) | (F.col("_by") == F.col(year)))
-    ).drop("_bt", "_bc", "_by")
+    """One boundary per row: the version of its year, else the timeless one (year 0). Two equi-joins;
+    rows without either are left out."""
+    def version(tag: str) -> DataFrame:
+        return bounds.select(F.col("boundary_type").alias(f"_bt_{tag}"), F.col("code").alias(f"_bc_{tag}"),
+                             F.struct("name").alias(f"_b_{tag}"), F.col("boundary_year").alias(f"_by_{tag}"))
+
+    def here(tag: str) -> Column:
+        return (F.col(f"_bt_{tag}") == F.col(unit)) & (F.col(f"_bc_{tag}") == F.col(code))
+
+    exact, timeless = version("e").where("_by_e <> 0"), version("t").where("_by_t = 0")
+    found = rows.join(exact, here("e") & (F.col("_by_e") == F.col(year)), "left").join(timeless, here("t"), "left")
+    chosen = F.coalesce("_b_e", "_b_t")
+    return found.where(chosen.isNotNull()).withColumn("boundary_name", chosen["name"]).drop(
+        *[f"{c}_{tag}" for c in ("_bt", "_bc", "_b", "_by") for tag in "et"])
 
 
 def colour_class(rows: DataFrame, group: list[str], value: str) -> DataFrame:

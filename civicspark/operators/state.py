@@ -39,6 +39,16 @@ def merge_newest(target: DataFrame, batch: DataFrame, keys, order: list[Column])
     return newest_per_key(both, keys, [*order, F.desc("_side")]).drop("_side")
 
 
+def merge_snapshot(target: DataFrame, batch: DataFrame, scope, keys, order: list[Column], snapshot: str) -> DataFrame:
+    """Part of a snapshot into its scopes: per scope only rows of the newest snapshot id survive, whichever
+    batches bring them; rows of an older snapshot that come late change nothing."""
+    merged = merge_newest(target, batch, keys, [F.desc_nulls_last(snapshot), *order])
+    newest = merged.groupBy(*scope).agg(F.max(snapshot).alias("_newest"))
+    newest = newest.select(*[F.col(c).alias(f"_scope_{i}") for i, c in enumerate(scope)], "_newest")
+    here = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_scope_{i}")) for i, c in enumerate(scope)])
+    return merged.join(newest, here & F.col(snapshot).eqNullSafe(F.col("_newest")), "left_semi")
+
+
 def same_values(left: DataFrame, right: DataFrame, columns, how: str) -> DataFrame:
     """Semi or anti join on ``columns`` in which NULL equals NULL."""
     other = right.select(*[F.col(c).alias(f"_same_{i}") for i, c in enumerate(columns)])

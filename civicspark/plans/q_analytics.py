@@ -402,10 +402,13 @@ def choropleth_class(t: Tables):
 
 @query("versioned_boundary_join", ctes("facts") + """, b AS (
  SELECT 'ortsteil' boundary_type, lpad(CAST(s_suppkey AS VARCHAR), 6, '0') code, s_name AS name,
-   CASE WHEN s_suppkey % 2 = 0 THEN 0 ELSE CAST(1995 + s_suppkey % 7 AS INTEGER) END boundary_year FROM supplier)
+   CASE WHEN s_suppkey % 2 = 0 THEN 0 ELSE CAST(1995 + s_suppkey % 7 AS INTEGER) END boundary_year FROM supplier
+ UNION ALL SELECT 'ortsteil', lpad(CAST(s_suppkey AS VARCHAR), 6, '0'), s_name || ' neu', CAST(1993 + s_suppkey % 5 AS INTEGER)
+ FROM supplier WHERE s_suppkey % 2 = 0)
 SELECT name boundary_name, period_year, count(*) n, CAST(sum(CAST(metric_value AS DECIMAL(18,2))) AS DOUBLE) total
 FROM facts f JOIN b ON b.boundary_type = f.spatial_unit AND b.code = f.spatial_code
-  AND (b.boundary_year = 0 OR b.boundary_year = f.period_year) GROUP BY 1, 2
+  AND (b.boundary_year = f.period_year OR b.boundary_year = 0 AND NOT EXISTS (SELECT 1 FROM b x
+    WHERE x.boundary_type = f.spatial_unit AND x.code = f.spatial_code AND x.boundary_year = f.period_year)) GROUP BY 1, 2
 """)
 def versioned_boundary_join(t: Tables):
     key = F.col("s_suppkey")
@@ -413,10 +416,13 @@ def versioned_boundary_join(t: Tables):
         F.lit("ortsteil").alias("boundary_type"), F.lpad(key.cast("string"), 6, "0").alias("code"),
         F.col("s_name").alias("name"),
         F.when(key % 2 == 0, 0).otherwise((1995 + key % 7).cast("int")).alias("boundary_year"))
+    renamed = t.supplier.where(key % 2 == 0).select(
+        F.lit("ortsteil").alias("boundary_type"), F.lpad(key.cast("string"), 6, "0").alias("code"),
+        F.concat("s_name", F.lit(" neu")).alias("name"), (1993 + key % 5).cast("int").alias("boundary_year"))
     # one row per area and year meets the boundaries, not every observation
     yearly = roles.facts(t).groupBy("spatial_unit", "spatial_code", "period_year").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("metric_value").cast(roles.MONEY)).alias("total"))
-    return an.versioned_boundaries(yearly, bounds).groupBy("boundary_name", "period_year").agg(
+    return an.versioned_boundaries(yearly, bounds.unionByName(renamed)).groupBy("boundary_name", "period_year").agg(
         F.sum("n").alias("n"), F.sum("total").cast("double").alias("total"))
 
 

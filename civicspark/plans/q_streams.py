@@ -72,13 +72,13 @@ UNION ALL SELECT event_type, CAST(event_id AS VARCHAR), 'alt' FROM events WHERE
 def stream_sweep(t: Tables):
     path = work_path(t.spark, "sweep")
     keyed = lambda df: df.select(
-        F.col("event_type").alias("dataset_id"), F.col("event_id").cast("string").alias("dedup_key"), "stand")
+        F.col("event_type").alias("dataset_id"), F.col("event_id").cast("string").alias("dedup_key"), "stand", "fetched")
     # stored: everything of three datasets under old keys that the new snapshot no longer lists
-    old = t.events.where("event_type in ('click', 'view', 'error')").withColumn("stand", F.lit("alt"))
+    old = t.events.where("event_type in ('click', 'view', 'error')").withColumn("stand", F.lit("alt")).withColumn("fetched", F.lit(1))
     stale = old.where("event_type <> 'error'").withColumn("event_id", -F.col("event_id") - 1)
     keyed(old.where("event_type = 'error'").unionByName(stale)).write.partitionBy("dataset_id").parquet(path)
-    snapshot = keyed(_feed(t).where("event_type in ('click', 'view')").withColumn("stand", F.lit("neu")))
-    _drain(t, live.keyed_sink(snapshot, path, ["dataset_id", "dedup_key"], lambda: [F.asc("stand")], ["dataset_id"], ["dataset_id"]), "sweep")
+    snapshot = keyed(_feed(t).where("event_type in ('click', 'view')").withColumn("stand", F.lit("neu")).withColumn("fetched", F.lit(2)))
+    _drain(t, live.keyed_sink(snapshot, path, ["dataset_id", "dedup_key"], lambda: [F.asc("stand")], ["dataset_id"], ["dataset_id"], snapshot="fetched"), "sweep")
     return t.spark.read.parquet(path).select("dataset_id", "dedup_key", "stand")
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 SEPARATORS = (";", ",", "\t", "|")  # fixed values, in order of preference
@@ -13,22 +16,39 @@ def sniff_separator(header: str, default: str = ",") -> str:
     return best if header.count(best) else default
 
 
-def is_utf8(spark: SparkSession, path: str) -> bool:
-    """Whether every line is valid UTF-8; stops at the first one that is not."""
-    return spark.read.text(path).where(~F.is_valid_utf8("value")).isEmpty()
+def file_kinds(spark: SparkSession, path: str) -> list[tuple[str, str, str]]:
+    """(file, encoding, header line) of every file with lines: UTF-8 if each line is, else Latin-1.
+
+    One aggregate over the lines, whose result is one row per file."""
+    at = F.struct("_metadata.file_block_start", F.monotonically_increasing_id())
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), at.alias("at"), "value")
+    found = lines.groupBy("file").agg(F.every(F.is_valid_utf8("value")).alias("utf8"), F.min_by(F.col("value").cast("binary"), "at").alias("head"))
+    kinds = []
+    for row in found.orderBy("file").collect():
+        encoding = "UTF-8" if row["utf8"] else "ISO-8859-1"
+        kinds.append((unquote(row["file"]), encoding, bytes(row["head"]).decode(encoding, "replace")))
+    return kinds
 
 
 def read_delimited(spark: SparkSession, path: str, separator: str | None = None, encoding: str | None = None,
                    multi_line: bool = True) -> DataFrame:
     """Delimited files with a header as trimmed text columns; empty cells are NULL, NUL characters vanish.
 
-    Files are UTF-8 (a leading mark is fine) or else Latin-1. ``multi_line`` allows line breaks inside
-    quotes, at the price of one task per file; turn it off for large plain files."""
-    if encoding is None:
-        encoding = "UTF-8" if is_utf8(spark, path) else "ISO-8859-1"
-    if separator is None:
-        first = spark.read.option("encoding", encoding).text(path).first()
-        separator = sniff_separator(first["value"] if first else "")
+    Every file is UTF-8 (a leading mark is fine) or else Latin-1 and has its own separator; files that agree
+    in both and in the header are read together, columns are matched by name. ``multi_line`` allows line
+    breaks inside quotes, at the price of one task per file; turn it off for large plain files."""
+    if separator is not None and encoding is not None:
+        return _read(spark, path, separator, encoding, multi_line)
+    groups: dict[tuple[str, str, str], list[str]] = {}
+    for file, own, header in file_kinds(spark, path):
+        groups.setdefault((separator or sniff_separator(header), encoding or own, header), []).append(file)
+    if not groups:
+        return _read(spark, path, separator or ",", encoding or "UTF-8", multi_line)
+    parts = [_read(spark, files, sep, enc, multi_line) for (sep, enc, _), files in groups.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def _read(spark: SparkSession, path: str | list[str], separator: str, encoding: str, multi_line: bool) -> DataFrame:
     raw = (
         spark.read.option("header", True).option("inferSchema", False).option("sep", separator)
         .option("encoding", encoding).option("multiLine", multi_line).option("quote", '"').option("escape", '"')

@@ -58,11 +58,17 @@ def with_bucket(df: DataFrame, key: str, buckets: int = 16) -> DataFrame:
 
 
 def keyed_sink(stream: DataFrame, path: str, keys: list[str], order: Callable[[], list[Column]], parts: list[str],
-               snapshot_scope: list[str] | None = None, log: str | None = None, mode: str = "append") -> DataStreamWriter:
-    """Upsert every micro-batch into a keyed folder; with a scope, sweep what the snapshot lost. Without a
-    scope ``order`` decides between stored and new rows, so late rows do not replace newer ones.
-
+               snapshot_scope: list[str] | None = None, log: str | None = None, mode: str = "append",
+               snapshot: str | None = None) -> DataStreamWriter:
+    """Upsert every micro-batch into a keyed folder; ``order`` decides between stored and new rows, so late
+    rows do not replace newer ones.
+
+    With a scope, rows that a newer snapshot lost are swept. ``snapshot`` names the column with the snapshot's
+    ascending id (its fetch time), which the table keeps: a snapshot may span micro-batches, its first rows
+    retire older ones and its later rows join the first. While it is still arriving, readers see its part.
     An empty batch changes nothing. With ``log`` the counts of each batch are kept per batch id."""
+    if snapshot_scope and not (snapshot and set(parts) <= set(snapshot_scope)):
+        raise ValueError("a snapshot needs the column of its id, and partitions that hold whole scopes")
 
     def load(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -70,8 +76,15 @@ def keyed_sink(stream: DataFrame, path: str, keys: list[str], order: Callable[[]
         try:
             if batch.isEmpty():
                 return
-            newest = lambda old, new: st.merge_newest(old, new, keys, order())
-            st.upsert_path(spark, path, batch, keys, order(), parts, snapshot_scope, newest)
+            if snapshot_scope:
+                rank = [F.desc_nulls_last(snapshot), *order()]
+                merge = lambda old, new: st.merge_snapshot(old, new, snapshot_scope, keys, order(), snapshot)
+                # a batch may hold the end of one snapshot and the start of the next
+                fresh = st.merge_snapshot(batch.limit(0), batch, snapshot_scope, keys, order(), snapshot)
+            else:
+                rank, fresh = order(), batch
+                merge = lambda old, new: st.merge_newest(old, new, keys, order())
+            st.upsert_path(spark, path, fresh, keys, rank, parts, None, merge)
             if log:
                 counts = batch.agg(F.count(F.lit(1)).alias("rows_loaded"), F.count_distinct(*keys).alias("keys_loaded"))
                 counts.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option(

@@ -107,10 +107,23 @@ def test_exact_median_against_sorting(spark):
     rows = [("even", float(v)) for v in (1, 2, 3, 100)] + [("odd", float(v)) for v in (5, 5, 5, 1e12, -3)]
     rows += [("same", 4.0)] * 9 + [("wide", float(i * i)) for i in range(1001)] + [("even", None)]
     df = spark.createDataFrame(rows, "g string, v double")
-    got = {r["g"]: r["median"] for r in numeric.exact_median(df, ["g"], "v", buckets=8).collect()}
+    got = {r["g"]: r["median"] for r in numeric.exact_median(df, ["g"], "v", accuracy=8).collect()}
     assert got == {"even": 2.5, "odd": 5.0, "same": 4.0, "wide": 250000.0}
 
 
+def test_median_survives_an_outlier(spark):
+    df = spark.range(200_001).select(F.lit("g").alias("g"), F.when(F.col("id") == 200_000, 1e12).otherwise(F.col("id")).cast("double").alias("v"))
+    assert numeric.exact_median(df, ["g"], "v").first()["median"] == 100_000.0
+
+
+def test_p_value_of_any_size(spark):
+    df = spark.createDataFrame([(0.5, 3.0), (0.999, 3.0), (0.2, 100.0), (1.96 / 1e5, 1e10)], "r double, n double")
+    p = [r["p"] for r in df.select(numeric.pearson_p_value("r", "n").alias("p")).collect()]
+    assert p[0] == pytest.approx(2 / 3, abs=1e-9)  # one degree of freedom: an arc sine
+    assert p[1] == pytest.approx(2 / math.pi * math.acos(0.999), abs=1e-12)
+    assert p[2] == pytest.approx(0.046007, abs=1e-5) and p[3] == pytest.approx(0.0499958, abs=1e-4)
+
+
 def test_long_slugs_stay_different(spark):
     texts = ["einwohner " * 20 + "a", "einwohner " * 20 + "b", "Kurz & gut"]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in texts], "t string").select(tx.slugify(F.col("t"))).collect()]

@@ -46,6 +46,14 @@ def test_generic_xml(spark, tmp_path):
     assert {r["period_year"] for r in table(spark, tmp_path / "t", "statistics").collect()} == {2019}
 
 
+def test_last_row_of_a_key_wins(spark, tmp_path):
+    contract = {"id": "x", "name": "x", "url": "u", "format": "CSV"}
+    for name, lines in (("a", "A,9\nA,5\nB,1\n"), ("b", "B,7\nB,3\n")):
+        run = jobs.load_dataset(spark, contract, put(tmp_path / f"{name}.csv", "ortsteil,wert\n" + lines), str(tmp_path / "t"))
+    got = {r["spatial_key"]: r["metric_value"] for r in table(spark, tmp_path / "t", "statistics").collect()}
+    assert run["rows_loaded"] == 2 and got == {"A": 5.0, "B": 3.0}
+
+
 def _features(*items):
     return json.dumps({"type": "FeatureCollection", "features": [
         {"type": "Feature", "geometry": {"type": "Point", "coordinates": [12.0 + i / 100, 51.0]}, "properties": p} for i, p in items]})

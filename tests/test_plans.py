@@ -50,7 +50,7 @@ def skewed(spark):
 
 
 def test_skewed_medians_match_the_builtin(spark, skewed):
-    ours = {r["k"]: (r["n"], r["median"]) for r in describe_groups(skewed, ["k"], "v", buckets=64).collect()}
+    ours = {r["k"]: (r["n"], r["median"]) for r in describe_groups(skewed, ["k"], "v", accuracy=64).collect()}
     theirs = {r["k"]: (r["n"], r["m"]) for r in skewed.groupBy("k").agg(F.count("v").alias("n"), F.expr("percentile(v, 0.5)").alias("m")).collect()}
     assert ours == theirs
 

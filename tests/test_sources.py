@@ -33,6 +33,14 @@ def test_delimited_latin1(spark, tmp_path):
     assert [tuple(r) for r in delimited.read_delimited(spark, path).collect()] == [("Müller", "1")]
 
 
+def test_folder_of_unlike_files(spark, tmp_path):
+    put(tmp_path / "a.csv", "name;wert\nMüller;1\n")
+    put(tmp_path / "b b.csv", "name,wert,neu\nGröße,2,x\n".encode("latin-1"))
+    put(tmp_path / "c.csv", "name;wert\nWeiß;3\n")
+    got = sorted(tuple(r) for r in delimited.read_delimited(spark, str(tmp_path)).select("name", "wert", "neu").collect())
+    assert got == [("Größe", "2", "x"), ("Müller", "1", None), ("Weiß", "3", None)]
+
+
 @pytest.mark.parametrize("doc", [[{"a": 1, "b": "x"}], {"values": [{"a": 1, "b": "x"}]}, {"total": 1, "data": [{"a": 1, "b": "x"}]}, {"a": 1, "b": "x"}])
 def test_json_envelopes(spark, tmp_path, doc):
     df = jsonfiles.read_records(spark, put(tmp_path / "a.json", json.dumps(doc)))

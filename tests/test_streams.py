@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from civicspark.streaming import live
@@ -57,11 +58,21 @@ def test_daily_totals_count_late_readings(spark, tmp_path):
     assert got == {("a", 1): (5, 3), ("b", 1): (9, 2), ("a", 2): (6, 2)}
 
 
-def test_snapshot_sweep_per_batch(spark, tmp_path):
-    rows = feed(spark, tmp_path, [("a", at(1), 1), ("a", at(2), 2), ("b", at(1), 1)], [("a", at(2), 3)]).withColumn("k", F.date_format("measured_at", "dd"))
+def test_snapshot_sweep(spark, tmp_path):
+    # v is the snapshot's id: the first spans two batches, the second leaves out a key of site a, then a late part of the first comes
+    batches = ([("a", at(1), 1), ("b", at(1), 1)], [("a", at(2), 1), ("a", at(3), 1)], [("a", at(2), 2)], [("a", at(3), 2), ("a", at(4), 1)])
+    rows = feed(spark, tmp_path, *batches).withColumn("k", F.date_format("measured_at", "dd"))
     out = str(tmp_path / "out")
-    drain(live.keyed_sink(rows, out, ["site_id", "k"], lambda: [F.desc("v")], ["site_id"], ["site_id"]), tmp_path)
-    assert sorted((r["site_id"], r["v"]) for r in spark.read.parquet(out).collect()) == [("a", 3), ("b", 1)]
+    sink = lambda stream: live.keyed_sink(stream, out, ["site_id", "k"], lambda: [F.desc("measured_at")], ["site_id"], ["site_id"], snapshot="v")
+    drain(sink(rows.where("v < 2 and k < '04'")), tmp_path)
+    assert spark.read.parquet(out).count() == 4  # both batches of the first snapshot
+    live.start(sink(rows), f"{tmp_path}/checkpoint2", once=True).awaitTermination()
+    assert sorted((r["site_id"], r["k"], r["v"]) for r in spark.read.parquet(out).collect()) == [("a", "02", 2), ("a", "03", 2), ("b", "01", 1)]
+
+
+def test_snapshot_needs_an_id(spark, tmp_path):
+    with pytest.raises(ValueError):
+        live.keyed_sink(feed(spark, tmp_path, BATCHES[0]), "x", ["site_id"], list, ["site_id"], ["site_id"])
 
 
 def test_refresh_only_live_marts(spark, tmp_path):
