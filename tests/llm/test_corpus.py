@@ -145,6 +145,39 @@ def test_passages_against_brute_force(spark):
     assert passages.repeated_spans(empty(spark)).count() == 0
 
 
+def test_repeated_word_runs_against_brute_force(spark):
+    rng = random.Random(7)
+    fresh = lambda seed, n: " ".join(f"q{seed}x{k}" + ("." if k % 9 == 8 else "") for k in range(n))
+    shout = " ".join(rng.choice(["WOW", "BUY", "NOW", "HOT", "TOP"]) + "!!" for _ in range(70))
+    inner = fresh("in", 64)
+    rows = [(1, f"{fresh(1, 40)} {shout} {fresh(2, 30)}", "en", "a"), (2, f"{fresh(3, 33)} {shout.lower()} {fresh(4, 21)}", "en", "a"),
+            (3, f"{fresh(5, 25)} {inner} {fresh(6, 25)}", "en", "a"), (4, f"{fresh(7, 31)} {' '.join(inner.split()[5:57])} {fresh(8, 44)}", "en", "a"),
+            (5, "Same " * 60, "en", "a"), (6, "again\n" * 130, "en", "a"), (7, fresh(9, 30) + "\nOne repeated line here\n" + fresh(10, 30), "en", "a"),
+            (8, fresh(11, 30) + "\nOne repeated line here\n" + fresh(12, 30), "en", "a"), (None, inner, "en", "a"), (9, None, "en", "a"), (10, "short", "en", "a")]
+    rows.append(rows[1])
+    first, want = {}, set()
+    docs = sorted({r[:2] for r in rows if r[1]}, key=lambda r: (r[0] is None, r[0] or 0))
+    for i, t in docs:
+        words = [(m.start(), m.end(), m.group().lower()) for m in passages._WORDS.finditer(t)]
+        for p in range(len(words) - 49):
+            j, q = first.setdefault(tuple(w[2] for w in words[p:p + 50]), (i, p))
+            if j != i or p - q >= 50:
+                want |= {(i, c) for w in words[p:p + 50] for c in range(w[0], w[1])}
+    df = table(spark, rows)
+    held = passages.repeated_runs(df.select(F.col("doc_id").alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("raw"), F.coalesce("text", F.lit("")).alias("t")), 50)
+    texts = dict(docs)
+    got = {(r.doc, c) for r in held.collect() for c in range(r.a, r.b) if passages._WORDS.match(texts[r.doc][c])}
+    assert got == want and {i for i, _ in want} == {2, 4, 6, None}
+    spans = passages.repeated_spans(df, min_words=1, run_words=50).collect()
+    removed = {(r.doc, c) for r in spans for c in range(r.start, r.end)}
+    assert want <= removed
+    assert [texts[8][r.start:r.end].strip() for r in spans if r.doc == 8] == ["One repeated line here"]
+    for r in spans:
+        assert r.n_words == len(passages._WORDS.findall(texts[r.doc][r.start:r.end]))
+    ends = sorted((str(r.doc), r.start, r.end) for r in spans)
+    assert all(x[0] != y[0] or x[2] <= y[1] for x, y in zip(ends, ends[1:], strict=False))
+
+
 def test_hot_passage_over_many_partitions(spark):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
@@ -157,6 +190,20 @@ def test_hot_passage_over_many_partitions(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def test_hot_run_over_many_partitions(spark):
+    hot = " ".join(f"hot{k}" for k in range(55))
+    df = table(spark, [(k, f"start{k} {hot} end{k}", "en", "a") for k in range(300)] + [(None, hot, "en", "a")])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        out = passages.repeated_spans(df, min_words=1, run_words=50).collect()
+        assert sorted(r.doc or 300 for r in out) == list(range(1, 301))
+        assert all(r.keep_doc_ids == [0] and r.n_words == 55 for r in out)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 # --- lines -----------------------------------------------------------------------------------------------
 
 def kept_by_brute_force(rows, least=20, docs=3):
