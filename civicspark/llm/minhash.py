@@ -273,7 +273,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per row of ``docs``: id, raw (hash of the text), n_shingles, component_id."""
     rows = settled(shingle_sets(docs, id_col, text_col), "shingle-sets")
     nodes = rows.where("n > 0").groupBy("node").agg(
-        F.min("id").alias("id"), F.min(F.struct("id", "raw")).alias("rep"), F.first("n").alias("n"),
+        F.min("id").alias("id"), F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "raw")).alias("rep"), F.first("n").alias("n"),
         F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("few").alias("few")).where("id is not null")
     nodes = settled(nodes.select("node", "id", F.col("rep.raw").alias("raw"), "n", "bands", "sketch", "few"), "nodes")
     buckets = nodes.select("id", "n", F.explode("bands").alias("bucket"))

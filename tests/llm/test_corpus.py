@@ -571,3 +571,11 @@ def test_pipeline_stages(spark, sf_dir):
     assert last.count() == counts[-1]
     assert counts[0] >= counts[1] >= counts[2] > 0
     assert Counter(r.decoded_sha256 for r in last.collect()) == Counter(hashlib.sha256(r.text.encode()).hexdigest() for r in docs.collect())
+
+
+def test_minhash_null_id_beside_a_near_duplicate(spark):
+    base = " ".join(f"w{k}" for k in range(150))
+    near = base.replace("w75 ", "changed ")
+    rows = [(2, near, "en", "a"), (5, base, "en", "a"), *[(None, base.replace(" ", " " * k), "en", "a") for k in range(2, 6)], (None, base.upper(), "en", "a")]
+    found = {r.id: r.component_id for r in minhash.near_duplicates(table(spark, rows)).collect() if r.id is not None}
+    assert found == {2: 2, 5: 2}
