@@ -205,7 +205,7 @@ def overlaps(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     rows = np.repeat(np.arange(len(sizes)), sizes)
     shared = often[code] > 1
     rows, code = rows[shared], np.cumsum(often > 1)[code[shared]] - 1
-    total = np.zeros((len(sizes), len(sizes)), np.float32)
+    total = np.zeros((len(sizes), len(sizes)), np.int64)
     order = np.argsort(code, kind="stable")
     rows, code = rows[order], code[order]
     width = 4096
@@ -213,7 +213,7 @@ def overlaps(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         lo, hi = np.searchsorted(code, [start, start + width])
         x = np.zeros((len(sizes), width), np.float32)
         x[rows[lo:hi], code[lo:hi] - start] = 1
-        total += x @ x.T
+        total += (x @ x.T).astype(np.int64)  # at most width, exact
     return total
 
 

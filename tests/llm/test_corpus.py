@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -579,3 +580,11 @@ def test_minhash_null_id_beside_a_near_duplicate(spark):
     rows = [(2, near, "en", "a"), (5, base, "en", "a"), *[(None, base.replace(" ", " " * k), "en", "a") for k in range(2, 6)], (None, base.upper(), "en", "a")]
     found = {r.id: r.component_id for r in minhash.near_duplicates(table(spark, rows)).collect() if r.id is not None}
     assert found == {2: 2, 5: 2}
+
+
+def test_minhash_large_sets_at_the_line():
+    both = next(b for b in range(700_000, 1_500_000) if b % 3 == 0 and int(np.float32(100 * b)) < 100 * b)
+    sets = [np.arange(both), np.arange(both * 4 // 3)]  # similarity exactly 0.75
+    shingles = pa.ListArray.from_arrays(pa.array([0, len(sets[0]), len(sets[0]) + len(sets[1])], pa.int32()), pa.array(np.concatenate(sets)))
+    block = pa.table({"id": pa.array([1, 2]), "label": pa.array([1, 2]), "shingles": shingles})
+    assert minhash._links_in_block(75)(block).to_pylist() == [{"a": 1, "b": 2}]
