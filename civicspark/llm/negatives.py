@@ -122,7 +122,7 @@ _NEAR = "a_id long, id long, score long"
 def _positives(k: int):
     """The k best rows of the anchor's label in one cell."""
 
-    def search(key, rows: pa.Table, probes: pa.Table) -> pa.Table:
+    def search(key: tuple[pa.Scalar, ...], rows: pa.Table, probes: pa.Table) -> pa.Table:
         out = [(NONE, NONE)] * probes.num_rows
         a_ids, a_labels = probes.column("a_id").to_numpy(), probes.column("a_label").to_numpy()
         if rows.num_rows and probes.num_rows:
@@ -148,7 +148,7 @@ _FOUND = "a_id long, p_id long, p_score long, id long, score long"
 def _negatives(k: int, low: int, high: int):
     """For each positive the k best rows of other labels in one cell with ``low`` to ``high`` percent of its score."""
 
-    def search(key, rows: pa.Table, probes: pa.Table) -> pa.Table:
+    def search(key: tuple[pa.Scalar, ...], rows: pa.Table, probes: pa.Table) -> pa.Table:
         a, p, ps, ids, scores = [], [], [], [], []
         if rows.num_rows and probes.num_rows:
             buckets, anchors = _anchors(probes, rows)

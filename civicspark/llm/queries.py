@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from civicspark.llm import bpe, exact, lexical, lines, minhash, mixing, negatives, ordinal, passages, rules, sharding, toxicity
+from civicspark.llm import bpe, exact, katz, lexical, lines, minhash, mixing, negatives, ordinal, passages, rules, sharding, toxicity
 
 QUERIES = {
     "op1_quality": ordinal.op1_quality,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_exact_dedup": exact.op8_exact_dedup,
     "op9_minhash": minhash.op9_minhash,
     "op10_quality_rules": rules.op10_quality_rules,
+    "op11_katz": katz.op11_katz,
     "op12_ranked_search": lexical.op12_ranked_search,
     "op13_hard_negatives": negatives.op13_hard_negatives,
 }
