@@ -43,7 +43,7 @@ from civicspark.session import settled
 CHUNK = 1 << 20
 LARGE = 5
 FREQUENT = 1 << 18
-RUN, BUCKET, FAN = 1_000_000, 1 << 21, 2048
+RUN, BUCKET, FAN = 1 << 19, 1 << 19, 4096
 SPLIT, SPLITS = 1 << 18, 1 << 16
 START, END = U64(0x51A7), U64(0xE0D)
 
