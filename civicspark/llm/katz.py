@@ -43,7 +43,8 @@ from civicspark.session import settled
 CHUNK = 1 << 20
 LARGE = 5
 FREQUENT = 1 << 18
-RUN, BUCKET, FAN = 1 << 19, 1 << 19, 4096
+RUN, BUCKET, FAN = 1 << 19, 1 << 20, 4096
+KEYS = 1 << 20
 SPLIT, SPLITS = 1 << 18, 1 << 16
 START, END = U64(0x51A7), U64(0xE0D)
 
@@ -427,6 +428,7 @@ def _scores(model: Model):
     alone = np.log10(model.alone(model.counts))
 
     def rows(batches):
+        sums = Sums()
         for batch in batches:
             for row in batch.to_pylist():
                 b = Bucket(row, model)
@@ -437,7 +439,8 @@ def _scores(model: Model):
                 s[often] = alone[b.rank[often]]
                 known = np.bincount(p.at, p.posting(s) * p.times, minlength=len(p.docs))
                 times = np.bincount(p.at, p.times, minlength=len(p.docs)).astype(np.int64)
-                yield _scored("sum", p.docs, None, times, known)
+                if sums.add(p.docs, known, times):
+                    yield sums.out()
                 unseen = p.posting(~b.seen)
                 at, start, word, times = p.at[unseen], p.posting(b.of)[unseen], p.posting(p.word)[unseen], p.times[unseen]
                 rare = p.posting(b.rank < 0)[unseen]
@@ -448,10 +451,30 @@ def _scores(model: Model):
                     each, back = np.unique(at[chosen] * max(size, 1) + start[chosen], return_inverse=True)
                     doc, h = np.divmod(each, max(size, 1))
                     yield _scored(kind, p.docs[doc], b.starts[h], np.bincount(back, times[chosen], minlength=len(each)).astype(np.int64), None)
+        yield sums.out()
 
     return rows
 
 
+class Sums:
+    """Sums per document over the buckets of a task, for at most ``KEYS`` documents and a bucket's at a time."""
+
+    def __init__(self):
+        self.keys, self.s, self.times = np.zeros(0, U64), np.zeros(0), np.zeros(0, np.int64)
+
+    def add(self, keys: np.ndarray, s: np.ndarray, times: np.ndarray) -> bool:
+        """Whether it is time to give them out."""
+        self.keys, back = np.unique(np.concatenate([self.keys, keys]), return_inverse=True)
+        self.s = np.bincount(back, np.concatenate([self.s, s]), minlength=len(self.keys))
+        self.times = np.bincount(back, np.concatenate([self.times, times]), minlength=len(self.keys)).astype(np.int64)
+        return len(self.keys) >= KEYS
+
+    def out(self) -> pa.RecordBatch:
+        batch = _scored("sum", self.keys, None, self.times, self.s)
+        self.__init__()
+        return batch
+
+
 def _scored(kind, keys, terms, times, s) -> pa.RecordBatch:
     n = len(keys)
     return pa.RecordBatch.from_arrays(
