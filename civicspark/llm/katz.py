@@ -409,7 +409,7 @@ def _mass(model: Model):
                 low = np.bincount(b.of[often], alone[b.rank[often]], minlength=len(b.starts))
                 met = np.flatnonzero(b.share > 0)
                 h = b.starts[met].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(left[met] / b.size[met]), pa.array(low[met]), pa.nulls(len(met), pa.int64())],
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(left[met] / b.size[met], pa.float64()), pa.array(low[met].astype(float)), pa.nulls(len(met), pa.int64())],
                                                  names=["h", "left", "low", "w"])
                 rare = seen[b.rank[seen] < 0]
                 none = pa.nulls(len(rare), pa.float64())
