@@ -30,11 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from civicspark.llm.common import body, documents
+from civicspark.llm.common import body, documents, slices, text_buffers
 from civicspark.session import settled
 
 SPECIAL = {"<|endoftext|>": 50256}
 LEAF = 16_384
+CHUNK = 1 << 20
 AGREE = 8
 MARGIN = 32
 
@@ -98,25 +99,35 @@ def join_halves(left: np.ndarray, right: np.ndarray, path: str, window: int = 64
         window *= 2
 
 
+def parts_of(batch: pa.RecordBatch, column: str):
+    """Slices of a batch with a bounded number of bytes in ``column``; a longer value is a slice of its own."""
+    _, offsets = text_buffers(batch.column(column))
+    for lo, hi in slices(offsets, CHUNK):
+        yield batch.slice(lo, hi - lo)
+
+
 def _encode(path: str):
     def rows(batches):
         for batch in batches:
-            ids = [encode_text(t, path).astype("<u4").tobytes() for t in batch.column("t").to_pylist()]
-            yield batch.drop_columns(["t"]).append_column("ids", pa.array(ids, pa.binary()))
+            for part in parts_of(batch, "t"):
+                ids = [encode_text(t, path).astype("<u4").tobytes() for t in part.column("t").to_pylist()]
+                yield part.drop_columns(["t"]).append_column("ids", pa.array(ids, pa.binary()))
 
     return rows
 
 
 def _halve(leaf: int):
+    schema = pa.schema([("id", pa.int64()), ("raw", pa.int64()), ("depth", pa.int32()), ("k", pa.int32()), ("t", pa.string())])
+
     def rows(batches):
         for batch in batches:
-            for doc, raw, text in zip(*(batch.column(c).to_pylist() for c in ("id", "raw", "t")), strict=True):
-                depth = max(0, (len(text) - 1) // leaf).bit_length()
-                cuts = [len(text) * k >> depth for k in range((1 << depth) + 1)]
-                for k in range(1 << depth):
-                    yield pa.RecordBatch.from_pylist(
-                        [{"id": doc, "raw": raw, "depth": depth, "k": k, "t": text[cuts[k]:cuts[k + 1]]}],
-                        pa.schema([("id", pa.int64()), ("raw", pa.int64()), ("depth", pa.int32()), ("k", pa.int32()), ("t", pa.string())]))
+            for part in parts_of(batch, "t"):
+                for row in part.to_pylist():
+                    text = row["t"]
+                    depth = max(0, (len(text) - 1) // leaf).bit_length()
+                    cuts = [len(text) * k >> depth for k in range((1 << depth) + 1)]
+                    leaves = [{"id": row["id"], "raw": row["raw"], "depth": depth, "k": k, "t": text[cuts[k]:cuts[k + 1]]} for k in range(1 << depth)]
+                    yield pa.RecordBatch.from_pylist(leaves, schema)
 
     return rows
 
@@ -163,8 +174,9 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
 def _decode(path: str):
     def rows(batches):
         for batch in batches:
-            texts = [decode_text(np.frombuffer(ids, "<u4"), path) for ids in batch.column("ids").to_pylist()]
-            yield batch.append_column("text", pa.array(texts, pa.string()))
+            for part in parts_of(batch, "ids"):
+                texts = [decode_text(np.frombuffer(ids, "<u4"), path) for ids in part.column("ids").to_pylist()]
+                yield part.append_column("text", pa.array(texts, pa.string()))
 
     return rows
 

@@ -60,12 +60,13 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def slices(offsets: np.ndarray, limit: int):
-    """Runs of rows of at most ``limit`` bytes together; a longer text makes a run of its own."""
+def slices(offsets: np.ndarray, limit: int, most: int | None = None):
+    """Runs of rows of at most ``limit`` bytes together; a longer text makes a run of its own. ``most``
+    bounds the rows of a run, for work that takes memory by the row."""
     start, rows = 0, len(offsets) - 1
     while start < rows:
         end = int(np.searchsorted(offsets, offsets[start] + limit, "right")) - 1
-        end = min(max(end, start + 1), rows)
+        end = min(max(end, start + 1), rows, start + (most or rows))
         yield start, end
         start = end
 

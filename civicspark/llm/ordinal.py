@@ -32,6 +32,7 @@ TRIGRAMS, SHAPES = 4096, 512
 DIMS = TRIGRAMS + SHAPES
 SAMPLE = 4000
 CHUNK = 1 << 20
+ROWS = 512  # rows times DIMS in a dense block
 _CLASS = np.full(256, 3, np.uint8)  # punctuation and other ASCII
 _CLASS[97:123] = 0
 _CLASS[65:91] = 1
@@ -131,7 +132,7 @@ def fit(features: np.ndarray, grades: np.ndarray, levels: int, rounds: int = 300
 def _sparse(batches):
     for batch in batches:
         data, offsets = text_buffers(batch.column("t"))
-        for lo, hi in slices(offsets, CHUNK):
+        for lo, hi in slices(offsets, CHUNK, ROWS):
             x = text_features(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
             places = [np.flatnonzero(r) for r in x]
             own = batch.slice(lo, hi - lo)
@@ -155,15 +156,20 @@ def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col:
     return fit(x, np.array([r["grade"] for r in table], np.int64), levels)
 
 
+def score_texts(texts: pa.Array, weights: np.ndarray) -> np.ndarray:
+    """Scores of a batch; its dense blocks are bounded by bytes and by rows."""
+    data, offsets = text_buffers(texts)
+    out = [text_features(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo]) @ weights for lo, hi in slices(offsets, CHUNK, ROWS)]
+    return np.concatenate(out).astype(np.float64) if out else np.zeros(0)
+
+
 def scored(text: Column, model: OrdinalModel) -> Column:
     """The score of a text; ``model`` turns it into tail probabilities and an expected grade."""
     weights = model.weights
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        data, offsets = text_buffers(texts)
-        out = [text_features(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo]) @ weights for lo, hi in slices(offsets, CHUNK)]
-        return pa.array(np.concatenate(out).astype(np.float64) if out else np.zeros(0))
+        return pa.array(score_texts(texts, weights))
 
     return score(text)
 

@@ -550,6 +550,20 @@ def test_label_model_finds_accuracies():
     assert (say[:4] > 2).all() and (np.abs(say[4:6]) < 0.5).all()
 
 
+def test_quality_scores_short_rows_in_bounded_memory():
+    import tracemalloc
+
+    texts = pa.array([f"short row number {i} of many" for i in range(10_000)])
+    weights = np.linspace(-1, 1, ordinal.DIMS).astype(np.float32)
+    tracemalloc.start()
+    scores = ordinal.score_texts(texts, weights)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150 << 20
+    one_by_one = [float(ordinal.score_texts(texts.slice(i, 1), weights)[0]) for i in (0, 511, 512, 9_999)]
+    assert scores[[0, 511, 512, 9_999]].tolist() == pytest.approx(one_by_one, abs=1e-5)
+
+
 # --- pipeline --------------------------------------------------------------------------------------------------
 
 def test_pipeline_stages(spark, sf_dir):
