@@ -63,10 +63,10 @@ def route(spark: SparkSession, contract: dict[str, Any], is_election: bool = Fal
 def _records(spark: SparkSession, contract: dict[str, Any], landed: str) -> DataFrame:
     fmt = contract["format"].upper()
     if fmt == "JSON":
-        return jsonfiles.read_records(spark, landed)
+        return jsonfiles.read_records(spark, landed, order="_row")
     if fmt == "XML":
         return _json_rows(archives.xml_records(archives.read_binary(spark, landed)), "record")
-    return delimited.read_delimited(spark, landed)
+    return delimited.read_delimited(spark, landed, order="_row")
 
 
 def _json_rows(df: DataFrame, column: str) -> DataFrame:
@@ -77,7 +77,12 @@ def _json_rows(df: DataFrame, column: str) -> DataFrame:
 
 
 def _numbered(df: DataFrame) -> DataFrame:
-    return df.withColumn("_row", F.monotonically_increasing_id())
+    """With the place of each row in its file, if the reader has not told it."""
+    return df if "_row" in df.columns else df.withColumn("_row", F.monotonically_increasing_id())
+
+
+def _order(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c == "_row"]
 
 
 def statistics_rows(records: DataFrame, contract: dict[str, Any]) -> DataFrame:
@@ -104,7 +109,8 @@ def statistics_rows(records: DataFrame, contract: dict[str, Any]) -> DataFrame:
             (F.col("area") if is_area else F.lit(reshape.DEFAULT_KEY)).alias("spatial_key"), "metric_name",
             reshape.tx.to_number(F.col("value")).alias("metric_value"), F.col("unit").alias("metric_unit"))
     else:
-        long = reshape.generic_to_long(records, dataset, unit, key_column, default, hints.get("skip_columns") or ()).withColumn(
+        long = reshape.generic_to_long(records, dataset, unit, key_column, default, hints.get("skip_columns") or (),
+                                       _order(records)).withColumn(
             "metric_unit", F.lit(None).cast("string"))
     return long.withColumn("spatial_code", F.lit(None).cast("string"))
 
@@ -137,16 +143,18 @@ def load_dataset(spark: SparkSession, contract: dict[str, Any], landed: str, fol
             parsed = payload.select(F.from_json("payload", jsonfiles.FEATURE).alias("f")).select("f.*")
             feats = jsonfiles.geojson_features(parsed.withColumn("epsg", F.lit(4326)))
         else:
-            feats = jsonfiles.read_geojson(spark, landed)
+            feats = jsonfiles.read_geojson(spark, landed, order="_row")
             sweep = where == "traffic_restrictions" or detail == short
         rows = (
-            loaders.restriction_rows(feats, contract["id"], detail) if where == "traffic_restrictions"
-            else loaders.feature_rows(feats, contract["id"], detail, year))
+            loaders.restriction_rows(feats, contract["id"], detail, _order(feats)) if where == "traffic_restrictions"
+            else loaders.feature_rows(feats, contract["id"], detail, year, _order(feats)))
         rows = _numbered(rows)
     elif where == "bicycle_counts":
-        rows = _numbered(loaders.count_rows(_records(spark, contract, landed)).where("period_start is not null"))
+        records = _records(spark, contract, landed)
+        rows = _numbered(loaders.count_rows(records, carry=_order(records)).where("period_start is not null"))
     elif where == "election_results":
-        rows = reshape.election_unpivot(_records(spark, contract, landed), election["parties"], election["vote_mode"], election["level"])
+        records = _records(spark, contract, landed)
+        rows = reshape.election_unpivot(records, election["parties"], election["vote_mode"], election["level"], _order(records))
         rows = rows.withColumn("election_id", F.lit(election["election_id"])).withColumn("dataset_id", F.lit(contract["id"]))
         rows = _with_codes(_numbered(rows.withColumn("spatial_code", F.lit(None).cast("string"))), boundaries, "level", "gebiet_code")
     else:

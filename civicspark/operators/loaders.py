@@ -32,7 +32,7 @@ def _geometry_text() -> Column:
     return F.concat(F.col("geom_type"), F.to_json("coords"))
 
 
-def feature_rows(features: DataFrame, dataset_id: str, feature_type: str, year: int | None = None) -> DataFrame:
+def feature_rows(features: DataFrame, dataset_id: str, feature_type: str, year: int | None = None, carry=()) -> DataFrame:
     """Map features with key, name, description and bounding box."""
     named = _with_props(features).withColumn("feature_id", tx.first_present(F.col("props"), ID_NAMES))
     xmin, ymin, xmax, ymax = geo.bbox(F.col("coords"))
@@ -41,7 +41,7 @@ def feature_rows(features: DataFrame, dataset_id: str, feature_type: str, year:
         "feature_id", F.lit(feature_type).alias("feature_type"), tx.first_present(F.col("props"), NAME_NAMES).alias("name"),
         tx.first_present(F.col("props"), DESCRIPTION_NAMES).alias("description"), "geom_type", "coords",
         xmin.alias("xmin"), ymin.alias("ymin"), xmax.alias("xmax"), ymax.alias("ymax"),
-        canonical_json(F.col("props")).alias("properties"), F.lit(year).cast("int").alias("year"))
+        canonical_json(F.col("props")).alias("properties"), F.lit(year).cast("int").alias("year"), *carry)
 
 
 def _moment(col: Column) -> Column:
@@ -49,7 +49,7 @@ def _moment(col: Column) -> Column:
     return F.coalesce(F.try_to_timestamp(col, F.lit("dd.MM.yyyy HH:mm:ss")), col.try_cast("timestamp"))
 
 
-def restriction_rows(features: DataFrame, dataset_id: str, restriction_type: str) -> DataFrame:
+def restriction_rows(features: DataFrame, dataset_id: str, restriction_type: str, carry=()) -> DataFrame:
     """Traffic restrictions with validity; stamps of the export do not enter the key but are kept."""
     props = F.col("props")
     named = _with_props(features).withColumn("restriction_id", tx.first_present(props, ID_NAMES))
@@ -59,7 +59,7 @@ def restriction_rows(features: DataFrame, dataset_id: str, restriction_type: str
         "restriction_id", F.lit(restriction_type).alias("restriction_type"),
         tx.first_present(props, ("title", "bezeichnung")).alias("title"), tx.first_present(props, DESCRIPTION_NAMES).alias("description"),
         "geom_type", "coords", _moment(tx.first_present(props, ("beginn", "valid_from"))).alias("valid_from"),
-        _moment(tx.first_present(props, ("ende", "valid_until"))).alias("valid_until"), canonical_json(props).alias("properties"))
+        _moment(tx.first_present(props, ("ende", "valid_until"))).alias("valid_until"), canonical_json(props).alias("properties"), *carry)
 
 
 def occupancy_rows(features: DataFrame) -> DataFrame:
@@ -77,7 +77,7 @@ def occupancy(occupied: Column, total: Column) -> Column:
     return F.when(total > 0, occupied / total * 100)
 
 
-def count_rows(records: DataFrame, period: str = "day") -> DataFrame:
+def count_rows(records: DataFrame, period: str = "day", carry=()) -> DataFrame:
     """Counter readings; a position needs both coordinates."""
     have = lambda *names: [F.col(f"`{n}`") for n in names if n in records.columns]
 
@@ -90,4 +90,4 @@ def count_rows(records: DataFrame, period: str = "day") -> DataFrame:
         F.coalesce(first("zaehlstellen_id", "counter_id", "ID"), F.lit("")).alias("counter_id"), first("name", "Name").alias("counter_name"),
         F.lit(period).alias("count_period"), _moment(first("datum", "date", "timestamp")).alias("period_start"),
         tx.parse_int(first("gesamt", "total", "count")).alias("count_value"),
-        F.when((lat != 0) & (lon != 0), F.array(F.array(F.array(F.array(lon, lat))))).alias("coords"))
+        F.when((lat != 0) & (lon != 0), F.array(F.array(F.array(F.array(lon, lat))))).alias("coords"), *carry)

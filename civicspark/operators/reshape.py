@@ -234,7 +234,7 @@ def change_status(manifest: DataFrame, stored: DataFrame, loaded: DataFrame, for
     return joined.withColumn("status", status).drop("_etag", "_has")
 
 
-def election_unpivot(df: DataFrame, parties: list[str], vote_mode: str, level: str) -> DataFrame:
+def election_unpivot(df: DataFrame, parties: list[str], vote_mode: str, level: str, carry=()) -> DataFrame:
     """Wide election file (A, B, B1, C..F, then one numbered column per party) to one row per
     area and party. The party list is a short curated definition, in column order."""
     # fixed values: vote-mode letters of the standard layout
@@ -275,7 +275,7 @@ def election_unpivot(df: DataFrame, parties: list[str], vote_mode: str, level: s
             (cell("D") if two_votes else F.lit(None).cast("bigint")).alias("gueltige_erst"),
             (cell("E") if two_votes else cell("C")).alias("ungueltige_zweit"),
             cell(valid).alias("gueltige_zweit"),
-            F.inline(votes),
+            F.inline(votes), *carry,
         )
         .where("gebiet_code is not null")
     )

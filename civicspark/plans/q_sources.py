@@ -67,6 +67,41 @@ def src_geojson(t: Tables):
         *[F.round(c, 6).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")], "epsg")
 
 
+def _whole_documents(path: str, df, head: str, tail: str) -> None:
+    """One document per task, written row by row: ``head``, the JSON texts of ``df`` as elements of a list, ``tail``."""
+
+    def run(batches):
+        opening = head
+        for pdf in batches:
+            if len(pdf):
+                yield pd.DataFrame({"value": [opening + pdf["value"].iloc[0], *("," + v for v in pdf["value"].iloc[1:])]})
+                opening = ","
+        yield pd.DataFrame({"value": [tail if opening == "," else head + tail]})
+
+    df.select("value").mapInPandas(run, "value string").write.text(path)
+
+
+@query("src_geojson_collection", ctes("features") + "SELECT name, geom_type, vertices, round(xmin, 6) xmin, round(ymin, 6) ymin, round(xmax, 6) xmax, round(ymax, 6) ymax, 4326 epsg FROM features")
+def src_geojson_collection(t: Tables):
+    # large collections, cut into features by many tasks
+    path = work_path(t.spark, "collections")
+    rows = roles.features(t).select(jsonfiles.feature_json(["feature_id", "name", "year"]).alias("value"))
+    _whole_documents(path, rows, '{"type":"FeatureCollection","crs":{"type":"name","properties":{"name":"EPSG:4326"}},"features":[', "]}")
+    back = tl.with_bbox(jsonfiles.read_geojson(t.spark, path))
+    return back.select(
+        F.get_json_object("properties", "$.name").alias("name"), "geom_type", F.size(F.flatten(F.flatten("coords"))).alias("vertices"),
+        *[F.round(c, 6).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")], "epsg")
+
+
+@query("src_json_collection", "SELECT CAST(doc_id AS VARCHAR) doc_id, md5(text) digest, lang FROM documents")
+def src_json_collection(t: Tables):
+    # whole texts, with all their brackets and quotes, as records of large envelopes
+    path = work_path(t.spark, "envelopes")
+    rows = t.documents.select(F.to_json(F.struct("doc_id", "text", "lang"), {"ignoreNullFields": "false"}).alias("value"))
+    _whole_documents(path, rows, '{"help":{"values":"x"},"values":[', ']}')
+    return jsonfiles.read_records(t.spark, path).select("doc_id", F.md5("text").alias("digest"), "lang")
+
+
 @query("sink_geojson", ctes("features") + "SELECT 'Feature' AS \"type\", geom_type, name, CAST(year AS VARCHAR) AS year FROM features")
 def sink_geojson(t: Tables):
     path = work_path(t.spark, "geojson")

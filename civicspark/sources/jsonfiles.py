@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from civicspark.functions import geo
+from civicspark.session import settled, work_path
+from civicspark.sources import splits
 
 ENVELOPES = ("values", "data")  # fixed values
 
@@ -15,11 +17,27 @@ GEOJSON = f"type string, crs string, features array<struct<{FEATURE_FIELDS}>>, i
           "geometry struct<type:string, coordinates:string>, properties string"
 
 
-def read_records(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+def read_records(spark: SparkSession, path: str, lines: bool = False, order: str | None = None) -> DataFrame:
     """Records of a list, of a 'values' or 'data' envelope, or a single object; cells stay text.
 
-    ``lines`` reads one document per line, which splits large files over tasks."""
-    df = spark.read.option("multiLine", not lines).option("primitivesAsString", True).json(path)
+    A large file is cut into records by many tasks; if a document has both envelopes, 'values' counts. ``lines``
+    reads one document per line instead. ``order`` names a column that rises along a file."""
+    if not lines:
+        found, _ = splits.json_records(spark, path, ENVELOPES)
+        found = settled(found, "records")
+        preferred = found.where(F.col("key") == ENVELOPES[0]).select(F.col("file").alias("p_file")).distinct()
+        found = found.join(F.broadcast(preferred), F.col("file") == F.col("p_file"), "left")  # a row per file at most
+        found = found.where(F.col("p_file").isNull() | (F.col("key") != ENVELOPES[1]))
+        folder = work_path(spark, "record-lines")
+        found.select((F.col("start") + F.col("seq")).alias("at"), "text").select(
+            F.concat(F.lit('{"r":'), "text", F.lit(',"at":'), F.col("at").cast("string"), F.lit("}")).alias("value")).write.text(folder)
+        df = spark.read.option("primitivesAsString", True).json(folder)
+        if not df.columns:
+            return spark.createDataFrame([], order + " long") if order else df
+        return df.select("r.*", *([F.col("at").cast("long").alias(order)] if order else []))
+    df = spark.read.option("primitivesAsString", True).json(path)
+    if order:
+        df = df.withColumn(order, F.monotonically_increasing_id())
     boxed = [c for c in ENVELOPES if c in df.columns and isinstance(df.schema[c].dataType, T.ArrayType)]
     if not boxed:
         return df
@@ -27,25 +45,36 @@ def read_records(spark: SparkSession, path: str, lines: bool = False) -> DataFra
     kinds = {df.schema[c].dataType.simpleString() for c in boxed}
     items = F.coalesce(*boxed) if len(kinds) == 1 else F.col(boxed[0])
     exploded = df.select(F.explode(items).alias("record"))
+    if order:
+        exploded = exploded.withColumn(order, F.monotonically_increasing_id())
     is_struct = isinstance(exploded.schema["record"].dataType, T.StructType)
-    return exploded.select("record.*") if is_struct else exploded
+    return exploded.select("record.*", *([order] if order else [])) if is_struct else exploded
 
 
-def read_geojson(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+def read_geojson(spark: SparkSession, path: str, lines: bool = False, order: str | None = None) -> DataFrame:
     """Features in lon/lat: (feature_id, geom_type, coords, properties, epsg). UTM input is reprojected,
-    other systems pass unchanged. ``lines`` reads one feature or collection per line."""
-    docs = spark.read.schema(GEOJSON).option("multiLine", not lines).json(path)
-    single = F.array(F.struct("type", "id", "geometry", "properties"))
-    feats = docs.select(geo.epsg_code(F.col("crs")).alias("epsg"), F.inline(F.coalesce("features", single)))
-    return geojson_features(feats)
-
-
-def geojson_features(feats: DataFrame) -> DataFrame:
+    other systems pass unchanged. A large collection is cut into features by many tasks; ``lines`` reads one feature
+    or collection per line instead. ``order`` names a column that rises along a file."""
+    if lines:
+        docs = spark.read.schema(GEOJSON).json(path)
+        single = F.array(F.struct("type", "id", "geometry", "properties"))
+        feats = docs.select(geo.epsg_code(F.col("crs")).alias("epsg"), F.inline(F.coalesce("features", single)))
+        feats = feats.withColumn(order, F.monotonically_increasing_id()) if order else feats
+        return geojson_features(feats, order)
+    found, members = splits.json_records(spark, path, ("features",))
+    systems = members.where(F.col("name") == "{crs").groupBy(F.col("file").alias("c_file")).agg(F.max("value").alias("crs"))
+    found = found.join(F.broadcast(systems), F.col("file") == F.col("c_file"), "left")  # a row per file at most
+    feats = found.select(F.from_json("text", FEATURE).alias("f"), geo.epsg_code(F.col("crs")).alias("epsg"), (F.col("start") + F.col("seq")).alias("at"))
+    feats = feats.where("f.type = 'Feature' or f.geometry is not null")
+    return geojson_features(feats.select("f.*", "epsg", F.col("at").alias(order or "_at")), order)
+
+
+def geojson_features(feats: DataFrame, order: str | None = None) -> DataFrame:
     kind = F.col("geometry.type")
     coords = geo.coords_from_json(kind, F.col("geometry.coordinates"))
     return feats.select(
         F.col("id").alias("feature_id"), kind.alias("geom_type"),
-        geo.reproject_coords(coords, F.col("epsg")).alias("coords"), "properties", "epsg")
+        geo.reproject_coords(coords, F.col("epsg")).alias("coords"), "properties", "epsg", *([order] if order else []))
 
 
 def feature_json(properties: list[str]):
