@@ -9,14 +9,32 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StreamingQuery
 
 from civicspark.operators import state as st
 
 LIVE_INTERVAL = "5 minutes"  # fixed value: polling interval of live feeds
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def stream_session(spark: SparkSession, state_partitions: int | None = None) -> SparkSession:
+    """A session for streams on the same cluster: keyed state in the RocksDB store, and its own number of state
+    partitions, which is fixed for the life of a checkpoint. Other queries keep their settings."""
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(key):
+            own.conf.set(key, value)
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    # state with processing time asks for another batch without end, so a drained stream would never stop
+    own.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    if state_partitions:
+        own.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
+    return own
+
+
 def file_feed(spark: SparkSession, folder: str, schema, fmt: str = "parquet", glob: str | None = None,
               files_per_batch: int | None = None) -> DataFrame:
     """Landed feed files as a stream."""
@@ -28,22 +46,81 @@ def file_feed(spark: SparkSession, folder: str, schema, fmt: str = "parquet", gl
     return reader.load(folder)
 
 
-def start(writer: DataStreamWriter, checkpoint: str, once: bool = False, every: str = LIVE_INTERVAL,
-          state_partitions: int | None = None) -> StreamingQuery:
-    """Start on the live interval, or drain what is there and stop.
-
-    The number of state partitions is fixed for the life of a checkpoint. A query copies the session's
-    settings when it starts, so the given number holds for this query only."""
+def start(writer: DataStreamWriter, checkpoint: str, once: bool = False, every: str = LIVE_INTERVAL) -> StreamingQuery:
+    """Start on the live interval, or drain what is there and stop."""
     writer = writer.option("checkpointLocation", checkpoint)
-    writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)
-    conf = SparkSession.active().conf
-    before = conf.get("spark.sql.shuffle.partitions")
-    try:
-        if state_partitions:
-            conf.set("spark.sql.shuffle.partitions", str(state_partitions))
-        return writer.start()
-    finally:
-        conf.set("spark.sql.shuffle.partitions", before)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
+
+
+# --- keyed state -------------------------------------------------------------------------------------------
+
+class _Newest(StatefulProcessor):
+    """Keeps the newest row of a key and passes it on when it changes."""
+
+    def __init__(self, schema: str, order: list[str], ttl: int | None):
+        self.schema, self.order, self.ttl = schema, order, ttl
+
+    def init(self, handle) -> None:
+        self.held = handle.getValueState("newest", self.schema, self.ttl)
+
+    def _rank(self, row):
+        return [(row[c] is not None, row[c]) if row[c] is not None else (False,) for c in self.order]
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        found = max((r.asDict() for r in rows), key=self._rank)
+        if self.held.exists():
+            names = list(found)
+            kept = dict(zip(names, self.held.get(), strict=True))
+            if self._rank(kept) >= self._rank(found):
+                self.held.update(tuple(kept.values()))  # seen again: the expiry starts anew
+                return
+        self.held.update(tuple(found.values()))
+        yield Row(**found)
+
+    def close(self) -> None:
+        pass
+
+
+class _First(StatefulProcessor):
+    """Passes the first row of a key on; the key is remembered as long as it keeps coming."""
+
+    def __init__(self, ttl: int | None):
+        self.ttl = ttl
+
+    def init(self, handle) -> None:
+        self.met = handle.getValueState("met", "yes boolean", self.ttl)
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        row, known = next(rows), self.met.exists()
+        for _ in rows:
+            pass
+        self.met.update((True,))
+        if not known:
+            yield row
+
+    def close(self) -> None:
+        pass
+
+
+def _millis(ttl: str | None) -> int | None:
+    return None if ttl is None else int(SparkSession.active().sql(f"SELECT unix_millis(timestamp '1970-01-01 00:00:00Z' + INTERVAL {ttl}) AS m").first()["m"])
+
+
+def newest_changes(stream: DataFrame, keys: list[str], order: list[str], ttl: str | None = None) -> DataFrame:
+    """Every change of the newest row per key, from keyed state: a row passes when it is ahead of all before it in the
+    columns ``order``, so late rows and repeats write nothing. The newest rows of what passed are the
+    newest of the whole feed. A key that is not heard of for ``ttl`` (processing time) is forgotten, which
+    bounds the state by the live keys. Needs a stream of :func:`stream_session`."""
+    return _with_state(stream, keys, lambda schema: _Newest(schema, order, _millis(ttl)), ttl)
+
+
+def _with_state(stream: DataFrame, keys: list[str], processor, ttl: str | None) -> DataFrame:
+    """Moments pass through the state as microseconds, whatever the time zone of a worker."""
+    moments = [f.name for f in stream.schema if f.dataType.simpleString() == "timestamp"]
+    plain = stream.withColumns({c: F.unix_micros(c) for c in moments})
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema)
+    out = plain.groupBy(*keys).transformWithState(processor(schema), schema, "Append", "ProcessingTime" if ttl else "None")
+    return out.withColumns({c: F.timestamp_micros(c) for c in moments})
 
 
 def append_sink(stream: DataFrame, path: str, parts: list[str] | None = None) -> DataStreamWriter:
@@ -95,10 +172,14 @@ def keyed_sink(stream: DataFrame, path: str, keys: list[str], order: Callable[[]
     return stream.writeStream.foreachBatch(load).outputMode(mode)
 
 
-def unique_readings(stream: DataFrame, keys: list[str], ts: str, delay: str | None = None) -> DataFrame:
+def unique_readings(stream: DataFrame, keys: list[str], ts: str, delay: str | None = None, ttl: str | None = None) -> DataFrame:
     """Each reading once, although the feed repeats its window. All keys are remembered, so a row of any
-    age counts; a ``delay`` bounds that state where older rows cannot come, and drops them if they do."""
+    age counts. ``ttl`` forgets keys the feed has not repeated for that time, which bounds the state by the window
+    of the feed and drops no late row (needs :func:`stream_session`). A ``delay`` bounds it by event time
+    where older rows cannot come, and drops them if they do."""
     timed = stream.where(F.col(ts).isNotNull())
+    if ttl:
+        return _with_state(timed, keys, lambda schema: _First(_millis(ttl)), ttl)
     return timed.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys) if delay else timed.dropDuplicates(keys)
 
 
