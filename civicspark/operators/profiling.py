@@ -54,6 +54,37 @@ def profile_metrics(stats: DataFrame, k: int = 30) -> DataFrame:
     return numeric_groups(chosen, ["metric_name"], "metric_value", *years)
 
 
+def distributions(df: DataFrame, columns: list[str], keys: list[str], k: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(head, top) per group and column: n, non_null and distinct values; the k most frequent values, ties by value.
+
+    All columns are counted in one scan and one shuffle, as grouping sets of the keys with each of them."""
+    sets = [[F.col(c) for c in (*keys, column)] for column in columns]
+    name = F.coalesce(*[F.when(F.grouping(c) == 0, F.lit(c)) for c in columns])
+    value = F.coalesce(*[F.when(F.grouping(c) == 0, F.col(c).cast("string")) for c in columns])
+    counted = df.groupingSets(sets, *keys, *columns).agg(F.count(F.lit(1)).alias("n"), name.alias("column"), value.alias("value"))
+    counts = settled(counted.select(*keys, "column", "value", "n"), "distributions")
+    head = counts.groupBy(*keys, "column").agg(
+        F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("non_null"),
+        F.count("value").alias("distinct_n"))
+    top = top_per_key(counts.where("value is not null"), [*keys, "column"], [F.desc("n"), F.asc("value")], k)
+    return head, top
+
+
+def profile_places(stats: DataFrame, k: int = 10) -> tuple[DataFrame, DataFrame]:
+    """Distributions of area keys and period labels per dataset of a long table."""
+    return distributions(stats, ["spatial_key", "period_label"], ["dataset_id"], k)
+
+
+def profile_shapes(features: DataFrame) -> DataFrame:
+    """Per dataset the features of each geometry type, and in the row without a type all of them with their range of
+    years; one scan."""
+    sets = [[F.col("dataset_id"), F.col("geom_type")], [F.col("dataset_id")]]
+    whole = F.grouping("geom_type") == 1
+    return features.groupingSets(sets, "dataset_id", "geom_type").agg(
+        F.count(F.lit(1)).alias("n"), F.when(whole, F.min("year")).alias("year_min"), F.when(whole, F.max("year")).alias("year_max"),
+        F.when(whole, F.count_distinct("geom_type")).alias("distinct_n"), whole.alias("is_total"))
+
+
 def property_keys(features: DataFrame, sample: int | None = None, order: str = "feature_id",
                   k: int = MAX_PROPERTY_KEYS) -> DataFrame:
     """Most frequent property keys and whether they look numeric. With ``sample`` only the first

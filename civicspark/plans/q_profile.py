@@ -67,6 +67,32 @@ def profile_metrics(t: Tables):
     return _rounded(pf.profile_metrics(roles.facts(t)), ["null_share", "mean", "median", "stddev"])
 
 
+_PLACES = ctes("stats_long") + """, kv AS (SELECT dataset_id, 'spatial_key' AS "column", spatial_key AS v FROM stats_long
+ UNION ALL SELECT dataset_id, 'period_label', period_label FROM stats_long)
+"""
+
+
+@query("profile_places", _PLACES + "SELECT dataset_id, \"column\", count(*) n, count(v) non_null, count(DISTINCT v) distinct_n FROM kv GROUP BY 1, 2")
+def profile_places(t: Tables):
+    return pf.profile_places(roles.stats_long(t))[0]
+
+
+@query("profile_places_top", _PLACES + """
+SELECT dataset_id, "column", v AS value, count(*) n FROM kv WHERE v IS NOT NULL GROUP BY 1, 2, 3
+QUALIFY row_number() OVER (PARTITION BY dataset_id, "column" ORDER BY count(*) DESC, v) <= 10
+""")
+def profile_places_top(t: Tables):
+    return pf.profile_places(roles.stats_long(t))[1].select("dataset_id", "column", "value", "n")
+
+
+@query("profile_shapes", ctes("features") + """
+SELECT dataset_id, geom_type, count(*) n, CAST(NULL AS INT) year_min, CAST(NULL AS INT) year_max, CAST(NULL AS BIGINT) distinct_n, FALSE is_total FROM features GROUP BY 1, 2
+UNION ALL SELECT dataset_id, NULL, count(*), min(year), max(year), count(DISTINCT geom_type), TRUE FROM features GROUP BY 1
+""")
+def profile_shapes(t: Tables):
+    return pf.profile_shapes(roles.features(t))
+
+
 _PROPS = ctes("features") + """, kv AS (SELECT feature_id, 'acctbal' AS key, json_extract_string(properties, '$.acctbal') v FROM features
  UNION ALL SELECT feature_id, 'segment', json_extract_string(properties, '$.segment') FROM features WHERE dataset_id = 'customer')
 """
