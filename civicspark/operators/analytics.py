@@ -250,24 +250,21 @@ def polynomial_fit(df: DataFrame, keys: list[str], x: str, y: str, degree: int)
 
     def solve(batches):
         for pdf in batches:
-            coeffs, r2 = [], []
-            for row in pdf.itertuples(index=False):
-                usable = row.n >= degree + 2 and row.sx and row.syy and row.sx > 0 and row.syy > 0
-                fit = None
-                if usable:
-                    a = np.array([[getattr(row, f"s{i + j}") for j in range(size)] for i in range(size)])
-                    b = np.array([getattr(row, f"b{i}") for i in range(size)])
-                    if abs(np.linalg.det(a)) > 1e-10:
-                        fit = np.linalg.solve(a, b)
-                if fit is None:
-                    coeffs.append(None)
-                    r2.append(None)
-                    continue
-                r2.append(float(fit @ b / row.syy))
-                fit[0] += row.my
-                coeffs.append(fit.tolist())
+            # one stacked solve for all groups of the batch; unusable ones solve a unit system instead
+            place = np.add.outer(np.arange(size), np.arange(size))
+            a = pdf[[f"s{k}" for k in range(2 * degree + 1)]].to_numpy(float)[:, place]
+            b = pdf[[f"b{k}" for k in range(size)]].to_numpy(float)
+            syy = pdf["syy"].to_numpy(float)
+            usable = (pdf["n"].to_numpy() >= degree + 2) & (pdf["sx"].to_numpy(float) > 0) & (syy > 0)
+            a[~usable] = np.eye(size)
+            usable &= np.abs(np.linalg.det(a)) > 1e-10
+            a[~usable] = np.eye(size)
+            fit = np.linalg.solve(a, b[:, :, None])[:, :, 0]
+            r2 = np.where(usable, (fit * b).sum(axis=1) / np.where(usable, syy, 1.0), np.nan)
+            fit[:, 0] += pdf["my"].to_numpy(float)
             out = pdf[[*keys, "n", "mx", "sx", "xmin", "xmax"]].copy()
-            out["coeffs"], out["r2"] = coeffs, pd.Series(r2, dtype="float64", index=pdf.index)
+            out["coeffs"] = pd.Series([f if ok else None for f, ok in zip(fit.tolist(), usable, strict=True)], dtype=object, index=pdf.index)
+            out["r2"] = pd.Series(np.where(usable, r2, None), dtype=object, index=pdf.index)
             yield out
 
     return sums.mapInPandas(solve, schema)

@@ -273,7 +273,7 @@ def package_detail(packages: DataFrame, preview: int = 200) -> DataFrame:
     return packages.select(
         "id", "title", F.coalesce("organization", F.lit("")).alias("organization"), F.array_join("groups", ", ").alias("groups"),
         F.array_join("tags", ", ").alias("tags"), F.size("resources").alias("resource_count"),
-        F.substring("notes", 1, preview).alias("notes_preview"))
+        F.substring("notes", 1, preview).alias("notes_preview"), "notes")
 
 
 def package_samples(packages: DataFrame, rows: DataFrame, order: list[Column], k: int = 5) -> DataFrame:

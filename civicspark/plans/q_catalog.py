@@ -43,7 +43,7 @@ def catalog_formats(t: Tables):
 
 @query("catalog_detail", "WITH " + _PACKAGES + """
 SELECT id, title, organization, array_to_string("groups", ', ') AS "groups", array_to_string(tags, ', ') tags, CAST(len(resources) AS INTEGER) resource_count,
- left(notes, 200) notes_preview FROM packages
+ left(notes, 200) notes_preview, notes FROM packages
 """)
 def catalog_detail(t: Tables):
     return ct.package_detail(_packages(t))

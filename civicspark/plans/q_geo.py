@@ -49,7 +49,7 @@ tiled AS (SELECT * , CAST(unnest(range(y0, y1 + 1)) AS INTEGER) y FROM (SELECT *
 
 
 @query("tile_detail", ctes("features") + _tiles_sql("TRUE", [14, 16]) + """
-SELECT z, x, y, dataset_id, feature_id, feature_type, year, 1 point_count FROM (SELECT *, row_number() OVER (PARTITION BY z, x, y ORDER BY dataset_id, feature_id) rn FROM tiled) WHERE rn <= 20000
+SELECT z, x, y, dataset_id, feature_id, feature_type, year, 1 point_count FROM tiled
 """)
 def tile_detail(t: Tables):
     got = tl.detail_tiles(tl.with_bbox(roles.features(t)), [14, 16])
