@@ -72,7 +72,65 @@ def tile_shapes(t: Tables):
     return tl.visible_shapes(tl.with_bbox(roles.features(t)), [6, 8, 10, 12]).select("z", "x", "y", "feature_id", "geom_type")
 
 
-@query("tile_shapes_simplified")
+@query("tile_shapes_simplified", ctes("features") + _tiles_sql("geom_type <> 'Point'", [10, 12]) + """
+SELECT z, x, y, feature_id, vertices FROM tiled WHERE (xmax - xmin) + (ymax - ymin) > 360 / s / 512
+""")
 def tile_shapes_simplified(t: Tables):
+    """The shapes are boxes and lines of two points, from which nothing can go: fewer than four points are no ring."""
     got = tl.shape_tiles(tl.with_bbox(roles.features(t)), [10, 12])
     return got.select("z", "x", "y", "feature_id", geo.point_count(F.col("coords")).alias("vertices"))
+
+
+#: points on a side of the dense boxes below
+_SIDE_POINTS = 8
+
+
+@query("simplify_dense_boxes", f"""
+WITH b AS (SELECT s_suppkey, z, CAST(1 + s_suppkey % 5 AS DOUBLE) / 1000 side, 360.0 / (2.0 ** z) / {tl.SIMPLIFY_PARTS} tol FROM supplier, (SELECT unnest([8, 9, 10, 11, 12]) z))
+SELECT s_suppkey, z, CASE WHEN side * sqrt(0.5) > tol THEN 5 ELSE {4 * _SIDE_POINTS + 1} END vertices,
+ round(side * CASE WHEN side * sqrt(0.5) > tol THEN 4 ELSE {4 * _SIDE_POINTS} END, 6) spread FROM b
+""")
+def simplify_dense_boxes(t: Tables):
+    """Boxes with points along their sides: only corners stay where the tolerance is below half a diagonal; else too few for a ring
+    would stay, so all do. ``spread`` sums x and y over the points."""
+    side = (1 + F.col("s_suppkey") % 5) / 1000
+    n = _SIDE_POINTS
+
+    def place(i):
+        at, edge = (i % n) / F.lit(float(n)), F.floor(i / n) % 4
+        x = F.when(edge == 0, at).when(edge == 1, 1.0).when(edge == 2, 1 - at).otherwise(0.0)
+        y = F.when(edge == 0, 0.0).when(edge == 1, at).when(edge == 2, 1.0).otherwise(1 - at)
+        return F.array(x * side, y * side)
+
+    ring = F.transform(F.sequence(F.lit(0), F.lit(4 * n)), place)
+    boxes = t.supplier.select("s_suppkey", F.array(F.array(ring)).alias("coords"),
+                              F.explode(F.array(*[F.lit(z) for z in (8, 9, 10, 11, 12)])).alias("z"))
+    thin = boxes.withColumn("c", tl.simplify(F.col("coords"), tl.span(F.col("z")) / tl.SIMPLIFY_PARTS)[0][0])
+    total = F.aggregate("c", F.lit(0.0), lambda acc, p: acc + p[0] + p[1])
+    return thin.select("s_suppkey", "z", F.size("c").alias("vertices"), F.round(total, 6).alias("spread"))
+
+
+@query("tile_cover", ctes("features") + _tiles_sql("geom_type <> 'Point'", [14, 18]) + """
+, cells AS (SELECT z, k, x >> k cell_x, y >> k cell_y, dataset_id, feature_id FROM tiled, (SELECT CAST(unnest(range(0, 19)) AS INTEGER) k) WHERE k <= z
+  GROUP BY ALL HAVING count(*) = 4 ** k)
+SELECT c.z, c.z - c.k cell_z, c.cell_x, c.cell_y, c.dataset_id, c.feature_id FROM cells c WHERE NOT EXISTS (
+ SELECT 1 FROM cells p WHERE p.z = c.z AND p.k = c.k + 1 AND p.cell_x = c.cell_x >> 1 AND p.cell_y = c.cell_y >> 1 AND p.feature_id = c.feature_id)
+""")
+def tile_cover(t: Tables):
+    shapes = tl.with_bbox(roles.features(t)).where(~F.col("geom_type").isin(*geo.POINT_TYPES))
+    return tl.cover_tiles(shapes, [14, 18]).select("z", "cell_z", "cell_x", "cell_y", "dataset_id", "feature_id")
+
+
+@query("tile_asked", ctes("features", "registry") + _tiles_sql("TRUE", [14, 18]) + """
+, asked AS (SELECT DISTINCT z, x, y FROM tiled WHERE geom_type = 'Point' AND CAST(feature_id AS INTEGER) % 3 = 0)
+SELECT z, x, y, f.feature_id, f.feature_type, f.year, r.family_id, r.title dataset_title, 1 point_count
+FROM tiled f JOIN asked USING (z, x, y) JOIN registry r ON r.is_active AND r.dataset_id = CAST(1 + CAST(f.feature_id AS INTEGER) % 200 AS VARCHAR)
+""")
+def tile_asked(t: Tables):
+    """Features of active datasets in the tiles that every third customer lies in."""
+    own = roles.features(t).withColumn("dataset_id", (1 + F.col("feature_id").cast("int") % 200).cast("string"))
+    boxed = tl.with_bbox(own)
+    asked = tl.assign_tiles(boxed.where((F.col("geom_type") == "Point") & (F.col("feature_id").cast("int") % 3 == 0)), [14, 18])
+    cover = tl.cover_tiles(tl.of_active(boxed, roles.registry(t)), [14, 18])
+    got = tl.features_of(cover, asked)
+    return got.select("z", "x", "y", "feature_id", "feature_type", "year", "family_id", "dataset_title", F.lit(1).alias("point_count"))

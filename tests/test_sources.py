@@ -1,6 +1,7 @@
 import io
 import json
 import math
+import random
 import zipfile
 
 import pytest
@@ -171,6 +172,77 @@ def test_simplify(spark):
     assert len(got["l"][0][0]) == 2 and got["p"][0][0] == [p for p in ring if p[0] != 0.5] and len(got["t"][0][0]) == 4 and got["n"] is None
 
 
+def _one_ring(ring, tolerance):
+    """The recursive form, for comparison."""
+    def far(a, b):
+        (ax, ay), (bx, by) = ring[a][:2], ring[b][:2]
+        best, at = -1.0, None
+        for i in range(a + 1, b):
+            px, py = ring[i][:2]
+            span = math.hypot(bx - ax, by - ay)
+            away = math.hypot(px - ax, py - ay) if span == 0 else abs((px - ax) * (by - ay) - (py - ay) * (bx - ax)) / span
+            if away > best:
+                best, at = away, i
+        return best, at
+
+    def walk(a, b):
+        away, at = far(a, b)
+        return [] if at is None or away <= tolerance else [*walk(a, at), at, *walk(at, b)]
+
+    if not ring:
+        return []
+    kept = sorted({0, len(ring) - 1, *walk(0, len(ring) - 1)})
+    if len(ring) >= 4 and ring[0][:2] == ring[-1][:2] and len(kept) < 4:
+        kept = range(len(ring))
+    return [list(ring[i][:2]) for i in kept]
+
+
+def test_simplify_keeps_the_same_points(spark):
+    rnd = random.Random(4)
+
+    def ring():
+        n = rnd.choice([0, 1, 2, 3, 5, 40, 300])
+        line = [[rnd.randint(0, 60) / 7.0, rnd.randint(0, 60) / 7.0] + [1.0] * rnd.randint(0, 1) for _ in range(n)]
+        return line + [line[0][:2]] if n and rnd.random() < 0.5 else line
+
+    shapes = [(k, [[ring() for _ in range(rnd.randint(0, 3))] for _ in range(rnd.randint(0, 3))], rnd.choice([0.0, 0.3, 2.0, 50.0])) for k in range(120)]
+    df = spark.createDataFrame(shapes, "k int, coords array<array<array<array<double>>>>, tol double").repartition(3)
+    got = {r["k"]: r["c"] for r in df.select("k", tl.simplify(F.col("coords"), F.col("tol")).alias("c")).collect()}
+    for k, shape, tol in shapes:
+        assert got[k] == [[_one_ring(r, tol) for r in poly] for poly in shape], k
+
+
+def test_cover_is_the_box(spark):
+    rnd = random.Random(9)
+    boxes = [(str(i), x, y, x + w, y + h) for i in range(40) for x, y, w, h in [
+        (rnd.uniform(-179, 170), rnd.uniform(-80, 70), rnd.choice([0.0, 0.4, 3.0, 9.0]), rnd.choice([0.0, 0.4, 3.0, 9.0]))]]
+    df = spark.createDataFrame([("world", -180.0, -85.0, 180.0, 85.0), *boxes], "feature_id string, xmin double, ymin double, xmax double, ymax double")
+    tiles = {(r.feature_id, r.z, r.x, r.y) for r in tl.assign_tiles(df, [0, 5, 9]).collect()}
+    cover = tl.cover_tiles(df, [0, 5, 9])
+    spread = [(r.feature_id, r.z, (r.cell_x << k) + i, (r.cell_y << k) + j) for r in cover.collect() for k in [r.z - r.cell_z]
+              for i in range(1 << k) for j in range(1 << k)]
+    assert len(spread) == len(set(spread)) and set(spread) == tiles
+    asked = spark.createDataFrame(sorted({(z, x, y) for _, z, x, y in rnd.sample(sorted(tiles), 300)}), "z int, x int, y int")
+    wanted = {tuple(r) for r in asked.collect()}
+    found = [(r.feature_id, r.z, r.x, r.y) for r in tl.features_of(cover, asked).collect()]
+    assert sorted(found) == sorted(t for t in tiles if t[1:] in wanted)
+
+
+def test_cover_of_a_large_area_is_short(spark):
+    big = spark.createDataFrame([("a", 5.0, 40.0, 28.0, 52.0)], "feature_id string, xmin double, ymin double, xmax double, ymax double")
+    box = tl._boxed(big, [16]).first()
+    wide, high = box._x1 - box._x0 + 1, box._y1 - box._y0 + 1
+    assert wide * high > 10_000_000
+    assert tl.cover_tiles(big, [16]).count() <= 4 * (wide + high)
+
+
+def test_tiles_above_the_old_limit(spark):
+    many = tl.with_bbox(spark.range(20_500).select(
+        F.lit("d").alias("dataset_id"), F.col("id").cast("string").alias("feature_id"), F.lit("Point").alias("geom_type"),
+        F.array(F.array(F.array(F.array(F.lit(12.3701), F.lit(51.3301))))).alias("coords"), F.lit(2020).alias("year")))
+    assert tl.detail_tiles(many, [14]).groupBy("z", "x", "y").count().first()["count"] == 20_500
+
+
 def test_force_2d_and_multi(spark):
     df = spark.createDataFrame([("Point", [[[[1.0, 2.0, 3.0]]]]), ("MultiPolygon", [[[[1.0, 2.0]]]])], "t string, c array<array<array<array<double>>>>")
     got = [tuple(r) for r in df.select(geo.multi_type(F.col("t")), geo.force_2d(F.col("c"))).collect()]
