@@ -2,50 +2,80 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from civicspark.functions import text as tx
 from civicspark.operators.state import newest_per_key
+from civicspark.session import settled
 
 FUZZY_THRESHOLD = 0.45  # fixed value
 
 
+HOT_ROWS = 4096  # names of one gram on one side that one task takes
+
+
 def trigram_join(left: DataFrame, right: DataFrame, threshold: float = FUZZY_THRESHOLD) -> DataFrame:
     """Pairs (unit, left_name, right_name, sim) with trigram similarity above the threshold.
 
-    Expects (unit, left_name) and (unit, right_name). Exact prefix filtering: with all grams in one
-    global order, rare first, two sets above the threshold share a gram among their first
-    ``n - ceil(t n) + 1``. Only those grams are joined, so a gram that a third of all names
-    contain does not pair everything with everything; the similarity itself is then computed on
-    the surviving pairs."""
-    l_sets = _gram_sets(left, "left_name")
-    r_sets = _gram_sets(right, "right_name")
-    l_grams = l_sets.select("unit", "name", "n", F.explode("grams").alias("gram"))
-    r_grams = r_sets.select("unit", "name", "n", F.explode("grams").alias("gram"))
-    rarity = r_grams.groupBy("unit", "gram").agg(F.count(F.lit(1)).alias("freq"))
-    # grams the right side lacks cannot match, but they still count as positions of the left prefix
-    l_prefix = _prefix(l_grams.join(rarity, ["unit", "gram"], "left"), threshold)
-    r_prefix = _prefix(r_grams.join(rarity, ["unit", "gram"]), threshold)
-    pairs = (
-        l_prefix.select("unit", "gram", F.col("name").alias("left_name"), F.col("n").alias("ln"))
-        .join(r_prefix.select("unit", "gram", F.col("name").alias("right_name"), F.col("n").alias("rn")),
-              ["unit", "gram"])
-        .where((F.col("rn") >= threshold * F.col("ln")) & (F.col("ln") >= threshold * F.col("rn")))
-        .select("unit", "left_name", "right_name")
-        .distinct()
-    )
+    Expects (unit, left_name) and (unit, right_name); a null name or unit is in no pair. The survivors of
+    :func:`trigram_candidates` are compared in full."""
+    pairs = trigram_candidates(left, right, threshold)
     return pairs.withColumn("sim", tx.similarity(F.col("left_name"), F.col("right_name"))).where(
         F.col("sim") > threshold
     )
 
 
+def trigram_candidates(left: DataFrame, right: DataFrame, threshold: float = FUZZY_THRESHOLD, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Distinct pairs (unit, left_name, right_name) that may be above the threshold; no pair above it is missing.
+
+    All grams stand in one global order, rare first. Names of ln and rn grams above the threshold have at least
+    ``need = ceil(t / (1 + t) * (ln + rn))`` grams in common, so the first common one stands in the prefix of each
+    (``n - ceil(t n) + 1``), and behind its places are enough grams left to reach ``need``: the length
+    filter and the positional filter drop other meetings. The length band is part of the join key: sizes of a
+    pair differ by less than 1 / t, so a name meets its own band and the next on each side. A gram with more
+    than ``hot_rows`` names on a side is laid out as a grid of pieces."""
+    l_sets, r_sets = _gram_sets(left, "left_name"), _gram_sets(right, "right_name")
+    l_grams = l_sets.select("unit", "name", "n", F.explode("grams").alias("gram"))
+    r_grams = r_sets.select("unit", "name", "n", F.explode("grams").alias("gram"))
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    both = l_grams.select("unit", "gram", one.alias("l"), none.alias("r")).unionByName(r_grams.select("unit", "gram", none.alias("l"), one.alias("r")))
+    # how often a side has a gram also bounds how many of its names meet in it
+    counts = both.groupBy("unit", "gram").agg(F.sum("r").alias("freq"), *[
+        F.ceil(F.sum(side) / hot_rows).cast("int").alias(f"{side}_cuts") for side in "lr"])
+    # grams the right side lacks cannot match, but they still count as positions of the left prefix
+    l_prefix = _prefix(l_grams.join(counts, ["unit", "gram"]), threshold).where("l_cuts > 0 and r_cuts > 0")
+    r_prefix = _prefix(r_grams.join(counts, ["unit", "gram"]), threshold).where("l_cuts > 0 and r_cuts > 0")
+    # the size changes by at most one band within a pair; the rim keeps a rounded logarithm inside
+    band = F.floor(F.log("n") / F.lit(math.log(1 / threshold) * (1 + 1e-9))).cast("int")
+    l_rows = _piece(l_prefix, "l", "r").select(
+        "unit", "gram", "l_piece", "r_piece", F.explode(F.array(band - 1, band, band + 1)).alias("band"),
+        F.col("name").alias("left_name"), F.col("n").alias("ln"), F.col("_pos").alias("lp"))
+    r_rows = _piece(r_prefix, "r", "l").select(
+        "unit", "gram", "l_piece", "r_piece", band.alias("band"),
+        F.col("name").alias("right_name"), F.col("n").alias("rn"), F.col("_pos").alias("rp"))
+    need = F.ceil(F.lit(threshold / (1 + threshold) * (1 - 1e-12)) * (F.col("ln") + F.col("rn")))
+    reachable = 1 + F.least(F.col("ln") - F.col("lp"), F.col("rn") - F.col("rp"))
+    sized = (F.col("rn") >= threshold * F.col("ln")) & (F.col("ln") >= threshold * F.col("rn"))
+    met = l_rows.join(r_rows, ["unit", "gram", "band", "l_piece", "r_piece"])
+    return met.where(sized & (reachable >= need)).select("unit", "left_name", "right_name").distinct()
+
+
+def _piece(rows: DataFrame, own: str, other: str) -> DataFrame:
+    """Rows with their own piece of the gram, once for every piece of the other side."""
+    return rows.withColumn(f"{own}_piece", F.pmod(F.xxhash64("name"), F.col(f"{own}_cuts")).cast("int")).withColumn(
+        f"{other}_piece", F.explode(F.sequence(F.lit(0), F.col(f"{other}_cuts") - 1)))
+
+
 def _gram_sets(df: DataFrame, name: str) -> DataFrame:
     named = df.select("unit", F.col(name).alias("name")).distinct()
     return named.withColumn("grams", tx.trigrams(F.col("name"))).withColumn("n", F.size("grams"))
 
 
 def _prefix(grams: DataFrame, threshold: float) -> DataFrame:
-    w = Window.partitionBy("unit", "name").orderBy(F.coalesce("freq", F.lit(0)), "gram")
+    """The first grams of each name with their place (from 1) in the global order."""
+    w = Window.partitionBy("unit", "name").orderBy("freq", "gram")
     keep = F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1
     return grams.withColumn("_pos", F.row_number().over(w)).where(F.col("_pos") <= keep)
 
@@ -103,7 +133,9 @@ def resolve_keys(keys: DataFrame, boundaries: DataFrame, aliases: DataFrame,
     """(unit, raw) to (unit, raw, code, prio, sim): alias, code, leading code, then fuzzy name.
 
     Works on distinct keys only; the fuzzy branch sees just the keys no exact branch resolved and
-    that are not the name of another level."""
+    that are not the name of another level. Boundaries and graded keys are each derived once and settled, as the
+    branches read them several times."""
+    boundaries = settled(boundaries.select("boundary_type", "code", "name").distinct(), "boundary-names")
     wanted = keys.select("unit", "raw").distinct()
     codes = boundaries.select(F.col("boundary_type").alias("unit"), "code").distinct()
     trimmed = F.trim(F.col("raw"))
@@ -123,6 +155,7 @@ def resolve_keys(keys: DataFrame, boundaries: DataFrame, aliases: DataFrame,
         F.when(F.col("c1").isNotNull(), 1).when(F.col("c2").isNotNull(), 2)
         .when(F.col("c3").isNotNull(), 3).alias("prio"),
     )
+    graded = settled(graded, "graded-keys")
     open_keys = foreign_level(graded.where("code is null"), boundaries, "unit", "raw").where(~F.col("is_foreign"))
     named = boundaries.where("name is not null").select(
         F.col("boundary_type").alias("unit"), "code", tx.norm_name(F.col("name")).alias("right_name")

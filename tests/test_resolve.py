@@ -90,6 +90,35 @@ def test_prefix_filter_loses_no_pair(spark, threshold):
     assert want or threshold > 0.5
 
 
+def _crowded_names(n):
+    """Names of two words; a third of them share their first one, and with it seven grams."""
+    rnd = random.Random(23)
+    word = lambda k: "".join(rnd.choice(string.ascii_lowercase) for _ in range(k))
+    return sorted({("zentral " if rnd.random() < 0.34 else word(5) + " ") + word(rnd.randint(5, 11)) for _ in range(n)})
+
+
+def test_a_hot_gram_brings_few_candidates(spark):
+    names = _crowded_names(1500)
+    other = [n[:-1] + "x" for n in names]
+    l_df = spark.createDataFrame([("u", n) for n in names], "unit string, left_name string")
+    r_df = spark.createDataFrame([("u", n) for n in other], "unit string, right_name string")
+    found = rv.trigram_join(l_df, r_df).count()
+    candidates = rv.trigram_candidates(l_df, r_df).count()
+    assert found >= len(names)
+    assert candidates <= 3 * found, (candidates, found)
+
+
+@pytest.mark.parametrize("hot_rows", [1, 7])
+def test_pieces_of_a_hot_gram_lose_no_pair(spark, hot_rows):
+    names = _crowded_names(150)
+    l_df = spark.createDataFrame([("u", n) for n in names[::2]] + [(None, "zentral"), ("u", None), ("u", "")], "unit string, left_name string")
+    r_df = spark.createDataFrame([("u", n) for n in names[1::2]] + [(None, "zentral"), ("u", None), ("u", "")], "unit string, right_name string")
+    whole = rv.trigram_candidates(l_df, r_df)
+    cut = rv.trigram_candidates(l_df, r_df, hot_rows=hot_rows)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, cut.collect()))
+    assert whole.where("unit is null or left_name is null").count() == 0
+
+
 def test_boundary_gate(spark):
     feats = spark.createDataFrame([({"OT": str(i), "Name": "n"},) for i in range(9)] + [({"OT": " "},)], "props map<string,string>")
     rows = rv.boundary_rows(feats, ["OT", "SBZ"], ["Name"], "ortsteil")
