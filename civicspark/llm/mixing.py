@@ -5,7 +5,8 @@
 2. Blocks of ``block`` tokens are allotted to the sources by highest quotients
    target / (2k + 1), then, source by source, to its shards by their sizes in the same way. All
    quotients above a common divisor are counted at once; only the few seats between that count and the
-   house size are ranked.
+   house size are ranked. A block is one token by default: a larger one takes no less work, and a source or shard
+   below a block, or a stop that is no multiple of it, would lose words.
 3. A shard's documents stand in seeded order and form an endless line of tokens, epoch after epoch. The
    quota of blocks is laid on that line from a seeded start, so a token is taken at most ``limit``
    times and every block has exactly ``block`` tokens.
@@ -50,17 +51,25 @@ def apportion(parties: DataFrame, group: list[str], votes: str, seats: str, most
     votes / (2k + 1), at most ``most`` for a party; equal quotients go by ``tie``.
 
     Quotients of at least V / (2 * seats) are taken without ranking, as many as a party has. The seats
-    still open, or those given too much, are the best (worst) of the quotients next to that line, of
-    which a party needs to list as many as are open."""
+    still open, or those given too much, are the best (worst) of the quotients next to that line. With n of them,
+    the n-th best among the next quotients of the parties bounds what a party has to list."""
     w = Window.partitionBy(*group) if group else Window.partitionBy()
     line = F.try_divide(F.sum(votes).over(w).cast("double"), F.col(seats).cast("double"))
     lots = parties.withColumn("_first", F.when(
         (F.col(seats) > 0) & (F.col(votes) > 0), F.least(F.floor(F.try_divide(F.col(votes), line) + 0.5), F.col(most))).otherwise(0).cast("long"))
     lots = lots.withColumn("_open", (F.col(seats) - F.sum("_first").over(w)).cast("long"))
-    up = F.when((F.col("_open") > 0) & (F.col(votes) > 0) & (F.col("_first") < F.col(most)),
-                F.sequence(F.col("_first") + 1, F.least(F.col("_first") + F.col("_open"), F.col(most).cast("long"))))
-    down = F.when((F.col("_open") < 0) & (F.col("_first") > 0),
-                  F.sequence(F.greatest(F.col("_first") + F.col("_open") + 1, F.lit(1).cast("long")), F.col("_first")))
+    rising, falling = F.col("_open") > 0, F.col("_open") < 0
+    can_rise = rising & (F.col(votes) > 0) & (F.col("_first") < F.col(most))
+    lots = lots.withColumn("_next", F.when(can_rise, F.col(votes) / (2 * F.col("_first") + 1)).when(
+        falling & (F.col("_first") > 0), F.col(votes) / (2 * F.col("_first") - 1)))
+    place = F.row_number().over(w.orderBy(F.when(rising, -F.col("_next")).otherwise(F.col("_next")).asc_nulls_last(), *tie))
+    lots = lots.withColumn("_place", place).withColumn("_edge", F.max(F.when(F.col("_place") == F.abs("_open"), F.col("_next"))).over(w))
+    # seats with quotients on the losing side of the edge cannot be among the n; one more is listed against rounding
+    reach = F.floor((F.try_divide(F.col(votes), F.col("_edge")) + 1) / 2)
+    top = F.least(F.col("_first") + F.col("_open"), F.col(most).cast("long"), F.coalesce(reach + 1, F.col("_first") + F.col("_open")))
+    low = F.greatest(F.col("_first") + F.col("_open") + 1, F.lit(1).cast("long"), F.coalesce(reach - 1, F.lit(1).cast("long")))
+    up = F.when(can_rise & (top > F.col("_first")), F.sequence(F.col("_first") + 1, top))
+    down = F.when(falling & (F.col("_first") > 0) & (low <= F.col("_first")), F.sequence(low, F.col("_first")))
     near = lots.select(*group, *tie, votes, "_open", F.explode(F.coalesce(up, down)).alias("_seat"))
     quotient = F.col(votes) / (2 * F.col("_seat") - 1)
     gain = F.when(F.col("_open") > 0, -quotient).otherwise(quotient)
@@ -92,7 +101,7 @@ def _cycle_weight(weights: tuple[int, ...], place: Column) -> Column:
 
 def mixing_plan(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, limit: int = 2, block: int = 8, seed: int = 17,
+    weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, limit: int = 2, block: int = 1, seed: int = 17,
 ) -> DataFrame:
     """One row per row of ``docs``: id, raw (hash of the text), source, size, source_size, target, taken,
     and what is taken: ``whole`` full copies plus the words [part_from, part_to) once more
