@@ -72,10 +72,13 @@ def apportion(parties: DataFrame, group: list[str], votes: str, seats: str, most
     down = F.when(falling & (F.col("_first") > 0) & (low <= F.col("_first")), F.sequence(low, F.col("_first")))
     near = lots.select(*group, *tie, votes, "_open", F.explode(F.coalesce(up, down)).alias("_seat"))
     quotient = F.col(votes) / (2 * F.col("_seat") - 1)
-    gain = F.when(F.col("_open") > 0, -quotient).otherwise(quotient)
     back = F.when(F.col("_open") > 0, F.lit(1)).otherwise(F.lit(-1))
-    won = near.withColumn("_rank", F.row_number().over(
-        (Window.partitionBy(*group) if group else Window.partitionBy()).orderBy(gain, *tie, F.col("_seat"))))
+    near = near.withColumn("_quotient", quotient)
+    over = Window.partitionBy(*group) if group else Window.partitionBy()
+    # seats are given from the best down and taken back from the worst up, among equal quotients too
+    best = F.row_number().over(over.orderBy(F.desc("_quotient"), *tie, "_seat"))
+    worst = F.row_number().over(over.orderBy("_quotient", *[F.desc(t) for t in tie], F.desc("_seat")))
+    won = near.withColumn("_rank", F.when(F.col("_open") > 0, best).otherwise(worst))
     won = won.where(F.col("_rank") <= F.abs("_open")).groupBy(*{*group, *tie}).agg(F.sum(back).alias("_more"))
     keys = [*dict.fromkeys([*group, *tie])]
     won = won.select(*[F.col(k).alias(f"_w{i}") for i, k in enumerate(keys)], "_more")
