@@ -8,12 +8,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from civicspark import schemas
 from civicspark.operators import loaders, reshape, resolve, state
+from civicspark.session import settled
 from civicspark.sources import archives, delimited, jsonfiles
-from civicspark.sources.tables import LAYOUT
+from civicspark.sources.tables import LAYOUT, laid_out
 
 STATISTICS_API = "statistik.leipzig.de/opendata/api"  # fixed value
 UNDECODED = ("XLSX", "XLS", "ODS", "SHP", "GPKG")  # formats without a reader here
@@ -35,15 +36,17 @@ class Target:
     def upsert(self, spark: SparkSession, batch: DataFrame, sweep: bool = False) -> None:
         """Rows numbered by ``_row``: of those with one key the last wins; a missing unit keeps an earlier one."""
         parts, _ = LAYOUT[self.name]
+        batch = laid_out(batch, self.name)
+        keys = list(dict.fromkeys((*self.keys, *parts)))
         unit = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_row"))).alias(c) for c in batch.columns if c == "metric_unit"]
-        rest = [c for c in batch.columns if c not in (*self.keys, "_row", "metric_unit")]
-        last = batch.groupBy(*self.keys).agg(F.max_by(F.struct(*rest), "_row").alias("_last"), *unit)
+        rest = [c for c in batch.columns if c not in (*keys, "_row", "metric_unit")]
+        last = batch.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_row").alias("_last"), *unit)
         batch = last.select("*", "_last.*").select(*[c for c in batch.columns if c != "_row"])
-        order = [F.desc_nulls_last(c) for c in batch.columns if c not in (*self.keys, "coords")]
+        order = [F.desc_nulls_last(c) for c in batch.columns if c not in (*keys, "coords")]
         merge = None
         if self.name == "statistics":
-            merge = lambda old, new: state.merge_statistics(old, new, list(self.keys), F.col("metric_value"))
-        state.upsert_path(spark, self.path, batch, list(self.keys), order, parts, ["dataset_id"] if sweep else None, merge)
+            merge = lambda old, new: state.merge_statistics(old, new, keys, F.col("metric_value"))
+        state.upsert_path(spark, self.path, batch, keys, order, parts, ["dataset_id"] if sweep else None, merge)
 
 
 KEYS = {
@@ -52,12 +55,12 @@ KEYS = {
 }
 
 
-def route(spark: SparkSession, contract: dict[str, Any], is_election: bool = False) -> tuple[str, str | None]:
-    """(target, detail) of one contract by the same rules that route a whole catalog."""
+def route(spark: SparkSession, contract: dict[str, Any], is_election: bool = False) -> tuple[str, str | None, bool]:
+    """(target, detail, sweep) of one contract by the same rules that route a whole catalog."""
     one = spark.createDataFrame(
         [(contract.get("name") or "", contract.get("url") or "", contract.get("format") or "")], "name string, url string, format string")
     row = reshape.route_target(one, F.lit(is_election)).first()
-    return row["target"], row["detail"]
+    return row["target"], row["detail"], row["sweep"]
 
 
 def _records(spark: SparkSession, contract: dict[str, Any], landed: str) -> DataFrame:
@@ -120,7 +123,7 @@ def load_dataset(spark: SparkSession, contract: dict[str, Any], landed: str, fol
     """Load one landed file into its core table and return the run: status, target, counts, note.
 
     ``election`` carries election_id, vote_mode, parties and level for election files."""
-    where, detail = route(spark, contract, election is not None)
+    where, detail, whole = route(spark, contract, election is not None)
     run = {"dataset_id": contract["id"], "status": "success", "target": None, "rows_loaded": 0, "note": None}
     if where == "skip":
         return {**run, "status": "skipped", "note": detail}
@@ -128,12 +131,12 @@ def load_dataset(spark: SparkSession, contract: dict[str, Any], landed: str, fol
     fmt = contract["format"].upper()
     if fmt in UNDECODED:
         return {**run, "status": "skipped", "note": f"no reader for {fmt}; land it as CSV or GeoJSON"}
-    short, sweep = (contract.get("name") or "")[:64], False
+    sweep = False
     if where == "by_content":
         zipped = archives.zip_rows(archives.read_binary(spark, landed))
         kind = zipped.select("kind").first()["kind"]
         where = {"GeoJSON": "geo_features", "CSV": "statistics"}.get(kind, "summary")
-        payload, detail = zipped.where("payload is not null"), short
+        payload, detail = zipped.where("payload is not null"), (contract.get("name") or "")[:64]  # the same label as of other geodata
     if where == "summary":
         return {**run, "note": "DQ: raw-only ingest (no core rows)"}
     if where in ("geo_features", "traffic_restrictions"):
@@ -144,7 +147,7 @@ def load_dataset(spark: SparkSession, contract: dict[str, Any], landed: str, fol
             feats = jsonfiles.geojson_features(parsed.withColumn("epsg", F.lit(4326)))
         else:
             feats = jsonfiles.read_geojson(spark, landed, order="_row")
-            sweep = where == "traffic_restrictions" or detail == short
+            sweep = whole
         rows = (
             loaders.restriction_rows(feats, contract["id"], detail, _order(feats)) if where == "traffic_restrictions"
             else loaders.feature_rows(feats, contract["id"], detail, year, _order(feats)))
@@ -161,13 +164,12 @@ def load_dataset(spark: SparkSession, contract: dict[str, Any], landed: str, fol
         records = _json_rows(payload, "payload") if fmt == "ZIP" else _records(spark, contract, landed)
         rows = _with_codes(_numbered(statistics_rows(records, contract)), boundaries, "spatial_unit", "spatial_key")
         rows = rows.select(*[f.split()[0] for f in schemas.STATISTICS.split(", ")], "_row")
-    rows = rows.persist()
-    try:
-        loaded = rows.count()
-        if loaded:
-            Target(folder, where, KEYS[where]).upsert(spark, rows, sweep)
-    finally:
-        rows.unpersist()
+    # read and reshaped once: the write that the upsert starts from also counts, and outlives lost executors
+    seen = Observation("load")
+    rows = settled(rows.observe(seen, F.count(F.lit(1)).alias("n")), "load")
+    loaded = seen.get["n"]
+    if loaded:
+        Target(folder, where, KEYS[where]).upsert(spark, rows, sweep)
     return {**run, "target": where, "rows_loaded": loaded}
 
 

@@ -174,9 +174,11 @@ def _has(col: Column, *needles: str) -> Column:
 
 
 def route_target(df: DataFrame, is_election: Column) -> DataFrame:
-    """Target table, feature type and skip reason of a contract by ordered first match.
+    """Target table, feature type or skip reason (detail), and sweep: whether a file is a whole snapshot of
+    its dataset, so that rows it no longer holds go. Ordered first match.
 
-    Expects columns name, url, format. One expression, so routing a catalog is one narrow pass.
+    Expects columns name, url, format. One expression, so routing a catalog is one narrow pass. The label
+    of other geodata is the first 64 characters of its name, a fixed value; nothing is decided by it.
     """
     name = F.lower(F.coalesce("name", F.lit("")))
     url = F.coalesce("url", F.lit(""))
@@ -197,21 +199,22 @@ def route_target(df: DataFrame, is_election: Column) -> DataFrame:
          F.when(counts, "bicycle_count").otherwise("bicycle_station")),
         (bicycle, "bicycle_counts", None),
         (works, "traffic_restrictions",
-         F.when(name.contains("polygon"), "polygon").otherwise("point")),
+         F.when(name.contains("polygon"), "polygon").otherwise("point"), True),
         (fmt == "GTFS", "geo_features", F.lit("gtfs_stop")),
         (fmt.isin("SHP", "GPKG"), "geo_features", short),
         (fmt == "ZIP", "by_content", None),
         (fmt.isin("XLSX", "ODS", "XML"), "statistics", None),
-        (geo, "geo_features", short),
+        (geo, "geo_features", short, True),
         (fmt.isin("CSV", "JSON") & url.contains("statistik.leipzig.de/opendata/api"), "statistics", None),
         (fmt == "CSV", "statistics", None),
     ]
-    target = detail = None
-    for cond, where, what in rules:
+    target = detail = sweep = None
+    for cond, where, what, *whole in rules:
         what = F.lit(None).cast("string") if what is None else what
         target = F.when(cond, where) if target is None else target.when(cond, where)
         detail = F.when(cond, what) if detail is None else detail.when(cond, what)
-    return df.withColumn("target", target.otherwise("summary")).withColumn("detail", detail)
+        sweep = F.when(cond, bool(whole)) if sweep is None else sweep.when(cond, bool(whole))
+    return df.withColumns({"target": target.otherwise("summary"), "detail": detail, "sweep": sweep.otherwise(False)})
 
 
 def change_status(manifest: DataFrame, stored: DataFrame, loaded: DataFrame, forced: Column) -> DataFrame:
