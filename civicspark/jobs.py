@@ -193,6 +193,6 @@ def record_run(spark: SparkSession, folder: str, run: dict[str, Any], run_id: st
     if run["target"]:
         table = spark.read.parquet(f"{folder}/{run['target']}")
         total = (table.where(F.col("dataset_id") == run["dataset_id"]) if "dataset_id" in table.columns else table).count()
-    row = (run["dataset_id"], run["status"], run["target"], run["rows_loaded"], run["rows_loaded"], run["note"], run_id,
+    row = (run["dataset_id"], run["status"], run["target"], run["rows_loaded"], run.get("rows_extracted", run["rows_loaded"]), run["note"], run_id,
            started_at, finished_at, total, started_at.date())
     spark.createDataFrame([row], RUN_FIELDS).coalesce(1).write.mode("append").partitionBy("day").parquet(f"{folder}/runs")

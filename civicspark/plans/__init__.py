@@ -6,6 +6,7 @@ from civicspark.plans import (  # noqa: F401
     q_catalog,
     q_elections,
     q_geo,
+    q_ingest,
     q_profile,
     q_reshape,
     q_resolve,
