@@ -1,12 +1,14 @@
 """Toxicity by weak supervision.
 
-Voters: every word of a small lexicon, the words most tied to the label in the training rows (mined as
-hashes), patterns of spelling, and one that fires if no word voter does. A voter
+Voters: every word of a small lexicon, every word that the label of the training rows marks beyond chance
+(mined as hashes; a limit on its statistic, none on their number), patterns of spelling, and one that fires
+if no word voter does. A voter
 that does not fire abstains. A generative model of the votes then
 estimates, without labels, how often each voter fires in either class (its accuracy) by expectation
 maximisation, and the correlations of voters that remain within the classes; a voter's say is divided by
-one plus its correlations, so that echoes count once. A linear classifier over hashed words is trained
-on the posterior labels, with a penalty that leaves only words that matter, and scores every text.
+one plus its correlations, so that echoes count once. A linear classifier over all hashed words that at least
+three training rows hold, and over the patterns, is trained on the posterior labels as sparse rows: one penalty
+chooses the words, a weaker one sets their weights. It scores every text.
 
 Labels, mined words and votes come from at most ``sample`` labelled rows outside the held-out third; the
 bound is a parameter. Scoring reads every text whole: the presence of words counts, not their share.
@@ -29,7 +31,7 @@ from civicspark.llm.common import U64, _IS_ALNUM, body, documents, hashed_words,
 
 DIMS = 1 << 40
 SAMPLE = 16000
-MINED = 160
+BEYOND_CHANCE = 2.0  # standard errors of the log odds of a mined voter
 CHUNK = 1 << 20
 ECHO = 0.6  # from this correlation within the classes on, voters are echoes of each other
 # Common insults, as a start; what they are worth is estimated.
@@ -102,45 +104,54 @@ def label_model(votes: np.ndarray, start: np.ndarray, prior: float, rounds: int
 class ToxicityModel:
     weights: dict[int, float]
     intercept: float
+    spelling: tuple[float, ...] = (0.0,) * 4
 
     def lookup(self) -> tuple[np.ndarray, np.ndarray]:
         places = np.array(sorted(self.weights), np.int64)
         return places, np.array([self.weights[int(p)] for p in places], np.float64)
 
 
-def linear(rows: np.ndarray, words: np.ndarray, q: np.ndarray, features: int = 384, rounds: int = 400, penalty_scale: float = 0.005, most: float = 2.0) -> ToxicityModel:
-    """Logistic regression on word presence with soft labels; the rarer class weighs as much as the other.
-    Of all words the ``features`` most tied to the posterior take part; an L1 penalty (accelerated proximal
-    steps) leaves those that carry the decision."""
+def classifier(rows: np.ndarray, words: np.ndarray, spelling: np.ndarray, q: np.ndarray, select: float = 0.04, settle: float = 0.0025) -> ToxicityModel:
+    """Two fits: a strong penalty chooses among all words, a weak one then sets the weights of the chosen, which
+    the first has shrunk. Both strengths, and ``BEYOND_CHANCE``, were chosen by folds within training rows."""
+    chosen, _ = linear(rows, words, spelling, q, select).lookup()
+    kept = np.isin(words, chosen)
+    return linear(rows[kept], words[kept], spelling, q, settle)
+
+
+def linear(rows: np.ndarray, words: np.ndarray, spelling: np.ndarray, q: np.ndarray, strength: float, rounds: int = 400, most: float = 2.0) -> ToxicityModel:
+    """Logistic regression on the presence of words and patterns with soft labels; the rarer class weighs more,
+    up to ``most`` times. Words of fewer than three rows take no part; an L1 penalty (accelerated proximal steps)
+    leaves those that carry the decision. Rows stay lists of their columns, so work grows with the words."""
     n, total = len(q), q.sum()
     seen, code = np.unique(words, return_inverse=True)
-    often = np.bincount(code, minlength=len(seen))
-    hot = np.bincount(code, weights=q[rows], minlength=len(seen))
-    odds = np.log((hot + 0.5) / (total + 1)) - np.log((often - hot + 0.5) / (n - total + 1))
-    usable = np.flatnonzero(often >= 3)
-    used = np.sort(usable[np.lexsort((usable, -np.abs(odds[usable]) * np.sqrt(often[usable])))][:features])
+    used = np.flatnonzero(np.bincount(code, minlength=len(seen)) >= 3)
     column = np.full(len(seen), -1)
     column[used] = np.arange(len(used))
-    x = np.zeros((n, len(used) + 1), np.float32)
     hit = column[code] >= 0
-    x[rows[hit], column[code[hit]]] = 1
-    x[:, -1] = 1
+    marked, kind = np.nonzero(spelling)
+    row = np.concatenate([rows[hit], marked, np.arange(n)])
+    col = np.concatenate([column[code[hit]], len(used) + kind, np.full(n, len(used) + spelling.shape[1])])
+    size = len(used) + spelling.shape[1] + 1
+    forth = lambda w: np.bincount(row, weights=w[col], minlength=n)
+    back = lambda g: np.bincount(col, weights=g[row], minlength=size)
     weight = np.where(q > 0.5, min(most, max(1.0, (n - total) / max(total, 1.0))), 1.0)
     weight /= weight.sum()
-    penalty = np.append(np.full(len(used), penalty_scale / np.sqrt(total + 1)), 0.0)
-    probe = np.ones(len(used) + 1)
+    penalty = np.full(size, strength / np.sqrt(total + 1))
+    penalty[-1] = 0.0
+    probe = np.ones(size)
     for _ in range(20):  # the largest curvature
-        probe = x.T @ (weight * (x @ (probe / np.linalg.norm(probe))))
+        probe = back(weight * forth(probe / np.linalg.norm(probe)))
     step = 4 / max(np.linalg.norm(probe), 1e-6)
-    now, last, t = np.zeros(len(used) + 1), np.zeros(len(used) + 1), 1.0
+    now, last, t = np.zeros(size), np.zeros(size), 1.0
     for _ in range(rounds):
-        g = weight * (1 / (1 + np.exp(-np.clip(x @ now, -30, 30))) - q)
-        new = now - step * (x.T @ g)
+        g = weight * (1 / (1 + np.exp(-np.clip(forth(now), -30, 30))) - q)
+        new = now - step * back(g)
         new = np.sign(new) * np.maximum(np.abs(new) - step * penalty, 0)
         nxt = (1 + np.sqrt(1 + 4 * t * t)) / 2
         now, last, t = new + (t - 1) / nxt * (new - last), new, nxt
-    keep = np.flatnonzero(last[:-1])
-    return ToxicityModel({int(seen[used[i]]): float(last[i]) for i in keep}, float(last[-1]))
+    keep = np.flatnonzero(last[:len(used)])
+    return ToxicityModel({int(seen[used[i]]): float(last[i]) for i in keep}, float(last[-1]), tuple(map(float, last[len(used):-1])))
 
 
 def _words(batches):
@@ -180,34 +191,37 @@ def train(docs: DataFrame, marks: DataFrame, id_col: str = "doc_id", text_col: s
     order = np.searchsorted(voters, flat)
     hits = (order < len(voters)) & (voters[np.minimum(order, len(voters) - 1)] == flat)
     votes[at[hits], order[hits]] = 1
-    votes[:, len(voters):-1] = np.stack([np.unpackbits(np.frombuffer(r["seen"], np.uint8))[:4] for r in table])
+    spelling = np.stack([np.unpackbits(np.frombuffer(r["seen"], np.uint8))[:4] for r in table])
+    votes[:, len(voters):-1] = spelling
     votes[:, -1] = votes[:, :len(voters)].max(axis=1) == 0  # quiet: no word voter fires
     guess = 0.02 + 0.96 * (votes[:, -1] == 0)
     q, _, _ = label_model(votes, guess, (mark.sum() + 1) / (len(mark) + 10))
-    return linear(at, flat, q)
+    return classifier(at, flat, spelling, q)
 
 
 def _voters(rows: np.ndarray, words: np.ndarray, mark: np.ndarray) -> np.ndarray:
-    """The lexicon and the words most tied to the mark, by smoothed log odds and support."""
+    """The lexicon and every word whose log odds lie beyond chance and beyond e to the 2.5th, in at least 3 marked rows."""
     seen, code = np.unique(words, return_inverse=True)
     hot = np.bincount(code[mark[rows]], minlength=len(seen))
     cold = np.bincount(code[~mark[rows]], minlength=len(seen))
     odds = np.log((hot + 0.5) / (mark.sum() + 1)) - np.log((cold + 0.5) / ((~mark).sum() + 1))
-    usable = np.flatnonzero((hot >= 3) & (odds > 2.5))
-    best = usable[np.lexsort((usable, -np.sqrt(hot[usable]) * odds[usable]))][:MINED]
-    return np.unique(np.concatenate([word_buckets(LEXICON), seen[best]]))
+    error = np.sqrt(1 / (hot + 0.5) + 1 / (cold + 0.5))
+    mined = seen[(hot >= 3) & (odds > 2.5) & (odds > BEYOND_CHANCE * error)]
+    return np.unique(np.concatenate([word_buckets(LEXICON), mined]))
 
 
 def scored(text: Column, model: ToxicityModel) -> Column:
     places, values = model.lookup()
-    intercept = model.intercept
+    intercept, spelling = model.intercept, np.array(model.spelling)
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
         data, offsets = text_buffers(texts)
         out = np.full(len(texts), intercept)
         for lo, hi in slices(offsets, CHUNK):
-            words, rows = hashed_words(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], _IS_ALNUM)
+            part, cuts = data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo]
+            out[lo:hi] += patterns(part, cuts) @ spelling
+            words, rows = hashed_words(part, cuts, _IS_ALNUM)
             own = buckets(words)
             at = np.searchsorted(places, own)
             hit = np.flatnonzero((at < len(places)) & (places[np.minimum(at, len(places) - 1)] == own)) if len(places) else at[:0]

@@ -539,8 +539,32 @@ def test_toxicity_held_out(spark, sf_dir):
     known = out.join(labels(spark, sf), "doc_id").where("held_out").toPandas()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in known.itertuples())
     pos, neg = known[known.toxic == 1].score.values, known[known.toxic == 0].score.values
-    assert (pos[:, None] > neg[None, :]).mean() > 0.85
-    assert (neg >= 0.7).mean() < 0.03 and (pos >= 0.7).mean() > 0.6
+    assert (pos[:, None] > neg[None, :]).mean() > 0.93
+    assert (neg >= 0.7).mean() < 0.03 and (pos >= 0.7).mean() > 0.7
+
+
+def test_toxicity_learns_many_words_and_patterns():
+    # 600 rare insults of three rows each: more than any fixed list of voters or features would hold
+    rng = np.random.default_rng(5)
+    plain = rng.integers(10**6, 10**6 + 500, (9000, 12))
+    rude = np.repeat(np.arange(600), 3)
+    rows = np.concatenate([np.repeat(np.arange(9000), 12), np.arange(1800)])
+    words = np.concatenate([plain.ravel(), rude])
+    mark = np.arange(9000) < 1800
+    assert len(toxicity._voters(rows, words, mark)) > 600
+    spelling = np.zeros((9000, 4), np.uint8)
+    spelling[1800:2100, 1] = 1  # marked by a pattern alone
+    q = np.where(np.arange(9000) < 2100, 0.98, 0.02)
+    model = toxicity.linear(rows, words, spelling, q, 0.0025)
+    assert len(set(model.weights) & set(range(600))) == 600 and min(model.weights[w] for w in range(600)) > 0
+    assert model.spelling[1] > 2
+
+
+def test_toxicity_scores_patterns(spark):
+    model = toxicity.ToxicityModel({}, -2.0, (0.0, 4.0, 0.0, 0.0))
+    df = spark.createDataFrame([("you id*ot and so on for long",), ("nothing of the kind in here",), (None,)], "t string")
+    got = [r.s for r in df.select(toxicity.scored(F.col("t"), model).alias("s")).collect()]
+    assert got[0] > 0.85 and got[1] < 0.15 and got[2] < 0.15
 
 
 def test_toxicity_ignores_held_out_labels(spark):
