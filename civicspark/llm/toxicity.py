@@ -33,6 +33,7 @@ DIMS = 1 << 40
 SAMPLE = 16000
 BEYOND_CHANCE = 2.0  # standard errors of the log odds of a mined voter
 CHUNK = 1 << 20
+CHUNK_ROWS = 2048
 ECHO = 0.6  # from this correlation within the classes on, voters are echoes of each other
 # Common insults, as a start; what they are worth is estimated.
 LEXICON = (
@@ -80,18 +81,29 @@ def label_model(votes: np.ndarray, start: np.ndarray, prior: float, rounds: int
     """Posterior of class 1 for every row of ``votes`` (0/1), the log odds of every voter and the matrix of
     correlations within classes. ``start``: a first guess of the posterior; ``prior``: the share of class 1."""
     q = np.clip(start.astype(np.float64), 0.01, 0.99)
-    v = votes.astype(np.float64)
+    n, k = votes.shape
+    row, col = (x.astype(np.int32) for x in np.nonzero(votes))
+    forth = lambda w: np.bincount(row, weights=w[col], minlength=n)
+    back = lambda w: np.bincount(col, weights=w[row], minlength=k)
+    both = np.zeros((k, k))
+    for lo in range(0, n, CHUNK_ROWS):
+        part = votes[lo:lo + CHUNK_ROWS].astype(np.float32)
+        both += part.T @ part
     for _ in range(rounds):
-        hit = (q @ v + 0.1) / (q.sum() + 1)
-        miss = ((1 - q) @ v + 0.1) / ((1 - q).sum() + 20)
-        hit, miss = np.clip(hit, 1e-6, 1 - 1e-6), np.clip(miss, 1e-6, 1 - 1e-6)
+        hot, cold = back(q), back(1 - q)
+        hit = np.clip((hot + 0.1) / (q.sum() + 1), 1e-6, 1 - 1e-6)
+        miss = np.clip((cold + 0.1) / ((1 - q).sum() + 20), 1e-6, 1 - 1e-6)
         fired = np.log(hit / miss)  # a voter that does not fire abstains and says nothing
-        resid = v - (q[:, None] * hit + (1 - q)[:, None] * miss)
-        spread = np.sqrt((resid**2).mean(axis=0)) + 1e-6
-        ties = (resid.T @ resid) / len(q) / spread / spread[:, None]
+        # products of what the classes leave unexplained, v - (q hit + (1 - q) miss), from sums alone
+        half = np.outer(hot, hit) + np.outer(cold, miss)
+        cross = np.outer(hit, miss)
+        mean = (q @ q) * np.outer(hit, hit) + (q @ (1 - q)) * (cross + cross.T) + ((1 - q) @ (1 - q)) * np.outer(miss, miss)
+        ties = (both - half - half.T + mean) / n
+        spread = np.sqrt(np.maximum(np.diag(ties), 0)) + 1e-6
+        ties = ties / spread / spread[:, None]
         np.fill_diagonal(ties, 0)
         say = 1 / (1 + np.where(ties > ECHO, ties, 0).sum(axis=0))
-        odds = np.log(prior / (1 - prior)) + v @ (fired * say)
+        odds = np.log(prior / (1 - prior)) + forth(fired * say)
         new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
         if np.abs(new - q).max() < 1e-4:
             q = new
@@ -130,8 +142,9 @@ def linear(rows: np.ndarray, words: np.ndarray, spelling: np.ndarray, q: np.ndar
     column[used] = np.arange(len(used))
     hit = column[code] >= 0
     marked, kind = np.nonzero(spelling)
-    row = np.concatenate([rows[hit], marked, np.arange(n)])
-    col = np.concatenate([column[code[hit]], len(used) + kind, np.full(n, len(used) + spelling.shape[1])])
+    row = np.concatenate([rows[hit], marked, np.arange(n)]).astype(np.int32)
+    col = np.concatenate([column[code[hit]], len(used) + kind, np.full(n, len(used) + spelling.shape[1])]).astype(np.int32)
+    del code, hit
     size = len(used) + spelling.shape[1] + 1
     forth = lambda w: np.bincount(row, weights=w[col], minlength=n)
     back = lambda g: np.bincount(col, weights=g[row], minlength=size)
@@ -183,19 +196,21 @@ def train(docs: DataFrame, marks: DataFrame, id_col: str = "doc_id", text_col: s
     if not table:
         return ToxicityModel({}, 0.0)
     words = [np.frombuffer(r["words"], "<i8") for r in table]
-    at = np.repeat(np.arange(len(words)), [len(w) for w in words])
+    at = np.repeat(np.arange(len(words), dtype=np.int32), [len(w) for w in words])
     flat = np.concatenate(words)
     mark = np.array([r["mark"] for r in table], bool)
+    spelling = np.stack([np.unpackbits(np.frombuffer(r["seen"], np.uint8))[:4] for r in table])
+    del words, table
     voters = _voters(at, flat, mark)
-    votes = np.zeros((len(table), len(voters) + len(PATTERNS)), np.int8)
+    votes = np.zeros((len(mark), len(voters) + len(PATTERNS)), np.int8)
     order = np.searchsorted(voters, flat)
     hits = (order < len(voters)) & (voters[np.minimum(order, len(voters) - 1)] == flat)
     votes[at[hits], order[hits]] = 1
-    spelling = np.stack([np.unpackbits(np.frombuffer(r["seen"], np.uint8))[:4] for r in table])
     votes[:, len(voters):-1] = spelling
     votes[:, -1] = votes[:, :len(voters)].max(axis=1) == 0  # quiet: no word voter fires
     guess = 0.02 + 0.96 * (votes[:, -1] == 0)
     q, _, _ = label_model(votes, guess, (mark.sum() + 1) / (len(mark) + 10))
+    del votes
     return classifier(at, flat, spelling, q)
 
 
