@@ -15,16 +15,17 @@ def newest_in_year() -> list[Column]:
     return [F.desc_nulls_last("period_quarter"), F.desc_nulls_last("period_month")]
 
 
-
-def of_metric(stats: DataFrame, metric: str, unit: str, dataset_id: str | None = None) -> DataFrame:
+def usable(metric: str, unit: str, dataset_id: str | None = None) -> Column:
     """Usable rows of one metric on one level. Names collide across datasets, so pin the dataset
     where it is known."""
-    rows = stats.where(
-        (F.col("metric_name") == metric) & (F.col("spatial_unit") == unit) & F.col("metric_value").isNotNull()
-    )
+    rows = (F.col("metric_name") == metric) & (F.col("spatial_unit") == unit) & F.col("metric_value").isNotNull()
     if unit != "city":
-        rows = rows.where("spatial_code is not null")
-    return rows if dataset_id is None else rows.where(F.col("dataset_id") == dataset_id)
+        rows = rows & F.col("spatial_code").isNotNull()
+    return rows if dataset_id is None else rows & (F.col("dataset_id") == dataset_id)
+
+
+def of_metric(stats: DataFrame, metric: str, unit: str, dataset_id: str | None = None) -> DataFrame:
+    return stats.where(usable(metric, unit, dataset_id))
 
 
 def statistics_latest(stats: DataFrame) -> DataFrame:
@@ -48,14 +49,30 @@ def one_value(rows: DataFrame, by: str, name: str) -> DataFrame:
                          F.col("metric_value").alias(f"value_{name}"), F.col("metric_unit").alias(f"unit_{name}"))
 
 
+def paired_metrics(stats: DataFrame, a: Column, b: Column, year: int | None = None) -> DataFrame:
+    """Values of two choices of rows per area in one year; by default the newest year both have.
+
+    One scan and one shuffle: both sides are conditional aggregates per (year, area). Without a given year these few
+    rows are written, and the year is a scalar subquery over them, so nothing is derived twice."""
+    newest = [x for c in ("period_quarter", "period_month") for x in (F.col(c).isNull(), -F.col(c))]
+    order, row = F.struct(*newest, "dataset_id", "spatial_key"), F.struct("spatial_key", "metric_value", "metric_unit")
+    rows = stats.where((a | b) & (F.col("period_year").isNotNull() if year is None else F.col("period_year") == year))
+    pairs = rows.groupBy("period_year", "spatial_code").agg(
+        F.min_by(row, F.when(a, order)).alias("a"), F.min_by(row, F.when(b, order)).alias("b"))
+    if year is None:
+        pairs = settled(pairs, "pairs")
+        both = pairs.groupBy("period_year").agg(F.count("a").alias("n_a"), F.count("b").alias("n_b")).where("n_a > 0 and n_b > 0")
+        pairs = pairs.where(F.col("period_year") == both.agg(F.max("period_year")).scalar())
+    return pairs.where("spatial_code is not null and a is not null and b is not null").select(
+        "spatial_code", F.col("a.spatial_key").alias("key_a"), F.col("a.metric_value").alias("value_a"),
+        F.col("a.metric_unit").alias("unit_a"), F.col("b.metric_value").alias("value_b"), F.col("b.metric_unit").alias("unit_b"))
+
+
 def paired_areas(a: DataFrame, b: DataFrame, year: int | None = None) -> DataFrame:
-    """Values of two metrics per area in one year; by default the newest year both have. The year is
-    a scalar subquery, so there is no round trip to the driver."""
-    wanted = F.lit(year) if year is not None else common_years(a, b).agg(F.max("period_year")).scalar()
-    in_year = lambda df: df.where(F.col("period_year") == wanted)
-    left = one_value(in_year(a), "spatial_code", "a")
-    right = one_value(in_year(b), "spatial_code", "b").drop("key_b")
-    return left.join(right, "spatial_code")
+    """The same for rows of two tables."""
+    columns = ["dataset_id", "spatial_code", "spatial_key", "period_year", "period_quarter", "period_month", "metric_value", "metric_unit"]
+    sides = a.select(*columns, F.lit(True).alias("first")).unionByName(b.select(*columns, F.lit(False).alias("first")))
+    return paired_metrics(sides, F.col("first"), ~F.col("first"), year)
 
 
 def paired_years(a: DataFrame, b: DataFrame) -> DataFrame:

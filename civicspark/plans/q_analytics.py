@@ -52,8 +52,7 @@ pairs AS (SELECT a.spatial_code, a.spatial_key, a.metric_value value_a, b.metric
 
 
 def _cross(t: Tables):
-    s = roles.stats_long(t)
-    return an.paired_areas(an.of_metric(s, "orders", "nation"), an.of_metric(s, "quantity", "nation"))
+    return an.paired_metrics(roles.stats_long(t), an.usable("orders", "nation"), an.usable("quantity", "nation"))
 
 
 @query("corr_cross_section", _CROSS + """
