@@ -308,8 +308,17 @@ def paired_fit(pairs: DataFrame, x: str, y: str) -> DataFrame:
     )
 
 
+def latest_pairs(latest: DataFrame, a: str, b: str) -> DataFrame:
+    """Newest values of two metrics of one dataset per area, where both are of the same year, in one shuffle."""
+    of = lambda m, v: F.when(F.col("metric_name") == m, v)
+    return latest.where(F.col("metric_name").isin(a, b)).groupBy("spatial_unit", "spatial_key", "period_year").agg(
+        *[F.max(of(m, F.col("metric_value"))).alias(f"value_{n}") for m, n in ((a, "a"), (b, "b"))],
+        *[F.count(of(m, F.lit(1))).alias(f"_n_{n}") for m, n in ((a, "a"), (b, "b"))]).where("_n_a > 0 and _n_b > 0").drop("_n_a", "_n_b")
+
+
 def windowless_corr(latest: DataFrame, group: list[str]) -> DataFrame:
     """Legacy variant: all metric pairs of one area level share one r, computed as an aggregate and
-    joined back instead of a window over everything."""
+    joined back instead of a window over everything. The pairs are written once and read twice."""
+    latest = settled(latest, "latest-pairs")
     r = latest.groupBy(*group).agg(pearson(F.col("value_a"), F.col("value_b")).alias("r"))
     return latest.join(r, group)

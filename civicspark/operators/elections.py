@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from civicspark.functions.numeric import settled_round
 from civicspark.operators.analytics import versioned_boundaries
 from civicspark.operators.state import newest_per_key
+from civicspark.session import settled
 
 SHARE_PREFIX = "Stimmenanteile "  # fixed value
 TURNOUT_METRIC = "Wahlbeteiligung"  # fixed value
@@ -42,28 +43,32 @@ def with_party(df: DataFrame, parties: DataFrame, raw: str = "raw_party") -> Dat
 def party_shares(results: DataFrame, stats: DataFrame, sources: DataFrame, parties: DataFrame) -> DataFrame:
     """Vote share and turnout per election type, year, level, area and party.
 
-    Exact results win; published shares only fill (type, year, level) combinations without any."""
-    exact = (
-        results.where("spatial_code is not null and zweitstimmen is not null")
+    Exact results win; published shares only fill (type, year, level) combinations without any. Each source is read
+    once: its sums per area and party are written, and combinations, shares and turnout come from those few rows."""
+    counted = lambda c: F.when(F.col("zweitstimmen").isNotNull(), F.col(c))
+    sums = settled(
+        results.where("spatial_code is not null")
         .groupBy("election_type", "year", "level", "spatial_code", F.col("party").alias("raw_party"))
-        .agg(F.min("gebiet_name").alias("gebiet_name"), F.sum("zweitstimmen").alias("votes"),
-             F.sum("gueltige_zweit").alias("_valid"), F.sum("waehler").alias("_voters"), F.sum("wahlberechtigte").alias("_eligible")))
+        .agg(F.min(counted("gebiet_name")).alias("gebiet_name"), F.sum("zweitstimmen").alias("votes"),
+             *[F.sum(counted(c)).alias(n) for c, n in (("gueltige_zweit", "_valid"), ("waehler", "_voters"), ("wahlberechtigte", "_eligible"))]),
+        "result-sums")
     ratio = lambda a, b: F.col(a) * 100.0 / F.nullif(F.col(b), F.lit(0))
     keys = ["election_type", "year", "level", "spatial_code", "gebiet_name", "raw_party"]
-    from_results = exact.select(*keys, ratio("votes", "_valid").alias("share_pct"), "votes",
-                                ratio("_voters", "_eligible").alias("turnout_pct"), F.lit("results").alias("source"))
-    usable = stats.where("spatial_code is not null and period_year is not null").join(sources, "dataset_id")
-    turnout = usable.where(F.col("metric_name") == TURNOUT_METRIC).groupBy("dataset_id", "spatial_code", "period_year").agg(
-        F.avg("metric_value").alias("turnout_pct"))
-    have = results.where("spatial_code is not null").select(
-        "election_type", F.col("year").alias("period_year"), F.col("level").alias("spatial_unit")).distinct()
+    from_results = sums.where("votes is not null").select(
+        *keys, ratio("votes", "_valid").alias("share_pct"), "votes", ratio("_voters", "_eligible").alias("turnout_pct"), F.lit("results").alias("source"))
+    have = sums.select("election_type", F.col("year").alias("period_year"), F.col("level").alias("spatial_unit")).distinct()
+    # the turnout is the row without a party
+    party = F.when(F.col("metric_name").startswith(SHARE_PREFIX), F.substring("metric_name", len(SHARE_PREFIX) + 1, 10**6))
+    published = settled(
+        stats.where("spatial_code is not null and period_year is not null and metric_value is not null")
+        .where(party.isNotNull() | (F.col("metric_name") == TURNOUT_METRIC)).join(sources, "dataset_id")
+        .groupBy("election_type", "dataset_id", "period_year", "spatial_unit", "spatial_code", party.alias("raw_party"))
+        .agg(F.min("spatial_key").alias("_key"), F.sum("metric_value").alias("_sum"), F.count(F.lit(1)).alias("_n")), "published-sums")
+    turnout = published.where("raw_party is null").groupBy("dataset_id", "spatial_code", "period_year").agg(
+        (F.sum("_sum") / F.sum("_n")).alias("turnout_pct"))
     shares = (
-        usable.where(F.col("metric_name").startswith(SHARE_PREFIX) & F.col("metric_value").isNotNull())
+        published.where("raw_party is not null")
         .join(have, ["election_type", "period_year", "spatial_unit"], "left_anti")
-        # one row per dataset, area and party before the turnout joins in
-        .groupBy("election_type", "dataset_id", "period_year", "spatial_unit", "spatial_code",
-                 F.substring("metric_name", len(SHARE_PREFIX) + 1, 10**6).alias("raw_party"))
-        .agg(F.min("spatial_key").alias("_key"), F.sum("metric_value").alias("_sum"), F.count(F.lit(1)).alias("_n"))
         .join(turnout, ["dataset_id", "spatial_code", "period_year"], "left")
         .groupBy("election_type", F.col("period_year").alias("year"), F.col("spatial_unit").alias("level"), "spatial_code", "raw_party")
         .agg(F.min("_key").alias("gebiet_name"), (F.sum("_sum") / F.sum("_n")).alias("share_pct"), F.min("turnout_pct").alias("turnout_pct")))

@@ -105,9 +105,7 @@ WHERE a.dataset_id = 'orders' AND a.metric_name = 'customers' AND b.dataset_id =
 """)
 def corr_latest_window(t: Tables):
     latest = an.statistics_latest(roles.stats_long(t)).where("spatial_unit <> 'city' and dataset_id = 'orders'")
-    side = lambda m, v: latest.where(F.col("metric_name") == m).select(
-        "spatial_unit", "spatial_key", "period_year", F.col("metric_value").alias(v))
-    both = side("customers", "value_a").join(side("revenue", "value_b"), ["spatial_unit", "spatial_key", "period_year"])
+    both = an.latest_pairs(latest, "customers", "revenue")
     return an.windowless_corr(both, ["spatial_unit"]).select(
         "spatial_unit", "spatial_key", "value_a", "value_b", r(F.col("r")).alias("r"))
 

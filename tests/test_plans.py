@@ -72,3 +72,18 @@ def test_skewed_tiles_keep_every_point(spark, skewed):
     clusters = tl.cluster_tiles(boxed, [12])
     assert clusters.agg(F.sum("point_count")).first()[0] == assigned.count() >= 90000
     assert max(r["count"] for r in tl.detail_tiles(boxed, [14], cap=1000).groupBy("z", "x", "y").count().collect()) == 1000
+
+
+def test_pairs_take_one_scan_and_one_shuffle(spark, tmp_path):
+    rows = [("d", 2020, 1, None, "nation", f"k{i}", str(i), m, float(i * f)) for i in range(9) for m, f in (("a", 1), ("b", 2))]
+    path = str(tmp_path / "s")
+    spark.createDataFrame(rows, "dataset_id string, period_year int, period_quarter int, period_month int, spatial_unit string, "
+                          "spatial_key string, spatial_code string, metric_name string, metric_value double").withColumn(
+        "metric_unit", F.lit("x")).write.parquet(path)
+    stats, sides = spark.read.parquet(path), (an.usable("a", "nation"), an.usable("b", "nation"))
+    plan = plan_of(an.paired_metrics(stats, *sides, year=2020))
+    assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    assert path not in plan_of(an.paired_metrics(stats, *sides))  # the newest year comes from the written pairs
+    assert an.paired_metrics(stats, *sides).count() == an.paired_metrics(stats, *sides, year=2020).count() == 9
+    # a metric against itself
+    assert {r["value_a"] == r["value_b"] for r in an.paired_metrics(stats, sides[0], sides[0]).collect()} == {True}
