@@ -12,7 +12,9 @@ what is left after h over the words not met after h: (1 - sum of P(w | h)) / (1
 2. Every text yields its pairs, as (start word, word, document) with multiplicity, dealt into buckets of about
    ``BUCKET`` tokens by the start word. Start words of more than that are split by the second word over
    several buckets; there are 65 536 of them at most. A task turns about ``RUN`` tokens at a time into
-   one row of packed columns per bucket; more than ``FAN`` buckets are dealt in two steps.
+   one row of packed columns per bucket; more than ``FAN`` buckets are dealt in two steps. A document is named
+   there by its place: the task, the row of texts in it, and the number in that; neighbours pack to a byte or
+   two. Which key a place belongs to is written beside the buckets, by the same tasks.
 3. A bucket becomes one row of the table of pairs: start words, words, counts, and in which documents they
    occur. It is written; counts of counts come from a column of it.
 4. Left-over mass per start word, and the unigram mass of the words met after it, are summed to the
@@ -33,7 +35,9 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +47,7 @@ from civicspark.session import settled
 CHUNK = 1 << 20
 LARGE = 5
 FREQUENT = 1 << 18
-RUN, BUCKET, FAN = 1 << 19, 1 << 20, 4096
+RUN, BUCKET, FAN = 1 << 19, 1 << 19, 4096
 KEYS = 1 << 20
 SPLIT, SPLITS = 1 << 18, 1 << 16
 START, END = U64(0x51A7), U64(0xE0D)
@@ -217,7 +221,8 @@ def _unigrams(model: Model):
 # --- pairs -------------------------------------------------------------------------------------------------------------
 
 _KINDS = {"starts": "<u8", "widths": "<u4", "words": "<i4", "rare": "<u8", "counts": "<u8", "runs": "<u4", "at": "<u4", "times": "<u4", "docs": "<u8", "trains": "u1"}
-_POSTINGS = "bucket int, " + ", ".join(f"{c} binary" for c in _KINDS)
+_POSTINGS = "bucket int, " + ", ".join(f"{c} binary" for c in _KINDS) + ", first long, keys binary"
+_PLACES = pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in _KINDS], ("first", pa.int64()), ("keys", pa.binary())])
 _PAIRS = _POSTINGS + ", n array<long>, lows array<long>"
 
 
@@ -307,19 +312,33 @@ class Pairs:
             names.append(int(bucket[pairs[0]]))
             rows.append(part.packed(model))
         columns = [pa.array([r[i] for r in rows], pa.binary()) for i in range(len(_KINDS))]
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), *columns], names=["bucket", *_KINDS])
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), *columns, pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.binary())], schema=_PLACES)
+
+
+def _keys_of(first: int, keys: np.ndarray) -> pa.RecordBatch:
+    """The keys of the places from ``first`` on, as a row below all buckets."""
+    at = -1 - int(mixed(np.array([first], U64))[0] % U64(1 << 20))
+    return pa.RecordBatch.from_pylist([{"bucket": at, "first": first, "keys": pack(keys, "<u8")}], schema=_PLACES)
+
+
+def _places(batches):
+    for batch in batches:
+        for row in batch.to_pylist():
+            keys = unpack(row["keys"], "<u8")
+            yield pa.RecordBatch.from_arrays([pa.array(row["first"] + np.arange(len(keys))), pa.array(keys.view(np.int64))], names=["place", "key"])
 
 
 def _postings(model: Model, share: int):
     def rows(batches):
         held, size = [], 0
+        context = TaskContext.get()
+        first = (context.partitionId() if context else 0) << 40
 
         def close():
             start, word, doc, keys, held_out = (np.concatenate([h[i] for h in held]) for i in range(5))
-            docs, back = np.unique(keys, return_inverse=True)
-            trains = np.zeros(len(docs), np.uint8)
-            trains[back] = ~held_out
-            return Pairs.of(start, word, back[doc], np.ones(len(doc), np.int64), docs, trains).dealt(model, share)
+            docs = U64(first) + np.arange(len(keys), dtype=U64)
+            yield _keys_of(first, keys)
+            yield Pairs.of(start, word, doc, np.ones(len(doc), np.int64), docs, (~held_out).astype(np.uint8)).dealt(model, share)
 
         texts = 0
         for batch in batches:
@@ -330,10 +349,11 @@ def _postings(model: Model, share: int):
                 held.append((before(words, of), words, of + texts, keys[lo:hi], out[lo:hi]))
                 texts, size = texts + hi - lo, size + len(words)
                 if size >= RUN:
-                    yield close()
+                    yield from close()
+                    first += texts
                     held, size, texts = [], 0, 0
         if held:
-            yield close()
+            yield from close()
 
     return rows
 
@@ -342,7 +362,10 @@ def _dealt_again(model: Model):
     def rows(batches):
         parts, size = [], 0
         for batch in batches:
-            for row in batch.to_pylist():
+            placed = batch.column("keys").is_valid()
+            if placed.true_count:
+                yield batch.filter(placed)
+            for row in batch.filter(pc.invert(placed)).to_pylist():
                 parts.append(Pairs.unpacked(row, model)[0])
                 size += len(parts[-1].at)
                 if size >= RUN:
@@ -358,13 +381,15 @@ def _counted(model: Model):
     """A bucket as one row, with counts, counts of counts, and the split start words that have a count to discount."""
 
     def bucket(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        if key[0].as_py() < 0:
+            return table.append_column("n", pa.nulls(len(table), pa.list_(pa.int64()))).append_column("lows", pa.nulls(len(table), pa.list_(pa.int64())))
         p = Pairs.merged([Pairs.unpacked(row, model)[0] for row in table.to_pylist()])
         c = np.bincount(p.posting(np.arange(len(p.runs))), p.times * p.trains[p.at], minlength=len(p.runs)).astype(np.int64)
         n = np.bincount(np.minimum(c, LARGE + 2), minlength=LARGE + 3)[1:LARGE + 2]
         lows = np.unique(p.start[(c > 0) & (c <= LARGE) & (model.split_at(p.start) >= 0)])
         columns = [pa.array([blob], pa.binary()) for blob in p.packed(model, c)]
-        return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int32()), *columns, pa.array([n.tolist()], pa.list_(pa.int64())),
-                                     pa.array([lows.view(np.int64).tolist()], pa.list_(pa.int64()))], names=["bucket", *_KINDS, "n", "lows"])
+        return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int32()), *columns, pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([n.tolist()], pa.list_(pa.int64())),
+                                     pa.array([lows.view(np.int64).tolist()], pa.list_(pa.int64()))], names=[*_PLACES.names, "n", "lows"])
 
     return bucket
 
@@ -419,7 +444,7 @@ def _mass(model: Model):
     return rows
 
 
-_SCORES = "kind string, key long, term long, times long, s double"
+_SCORES = "kind string, place long, term long, times long, s double"
 
 
 def _scores(model: Model):
@@ -479,19 +504,20 @@ def _scored(kind, keys, terms, times, s) -> pa.RecordBatch:
     n = len(keys)
     return pa.RecordBatch.from_arrays(
         [pa.array([kind] * n, pa.string()), pa.array(keys.view(np.int64)), pa.nulls(n, pa.int64()) if terms is None else pa.array(terms.view(np.int64)),
-         pa.array(times, pa.int64()), pa.nulls(n, pa.float64()) if s is None else pa.array(s, pa.float64())], names=["kind", "key", "term", "times", "s"])
+         pa.array(times, pa.int64()), pa.nulls(n, pa.float64()) if s is None else pa.array(s, pa.float64())], names=["kind", "place", "term", "times", "s"])
 
 
 # --- the operator ------------------------------------------------------------------------------------------------------
 
 @dataclass
 class Tables:
-    """The model as written tables: (w, c) of words, rows of pairs, (h, weight) of start words."""
+    """The model as written tables: (w, c) of words, rows of pairs, (h, weight) of start words, (place, key) of documents."""
 
     model: Model
     vocabulary: DataFrame
     pairs: DataFrame
     weights: DataFrame
+    places: DataFrame
 
 
 def _alone(model: Model, c: Column) -> Column:
@@ -513,6 +539,8 @@ def trained(texts: DataFrame) -> Tables:
     if share > 1:
         pairs = pairs.repartition("bucket").mapInArrow(_dealt_again(model), _POSTINGS)
     pairs = settled(pairs.groupBy("bucket").applyInArrow(_counted(model), _PAIRS), "pairs")
+    places = pairs.where("keys is not null").select("first", "keys").mapInArrow(_places, "place long, key long")
+    pairs = pairs.where("bucket >= 0").drop("first", "keys")
     counts = pairs.select(F.posexplode("n").alias("r", "n")).groupBy("r").agg(F.sum("n").alias("n")).collect()  # LARGE + 1 rows
     model.pair = discounts(np.array([n for _, n in sorted((r["r"], r["n"]) for r in counts)] or [0] * (LARGE + 1)))
     lows = pairs.select(F.explode("lows").alias("h")).distinct().toArrow().column("h").to_numpy()  # SPLITS at most
@@ -522,7 +550,7 @@ def trained(texts: DataFrame) -> Tables:
     rare = rare.select("h", F.lit(0.0).alias("left"), _alone(model, F.col("c")).alias("low"))
     mass = mass.where("w is null").select("h", "left", "low").unionAll(rare).groupBy("h").agg(F.sum("left").alias("left"), F.sum("low").alias("low"))
     weights = settled(mass.select("h", F.log10(F.col("left") / (1 - F.col("low"))).alias("weight")), "weights")
-    return Tables(model, words, pairs, weights)
+    return Tables(model, words, pairs, weights, places)
 
 
 def scored(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -542,14 +570,15 @@ def scored(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str
     parts = settled(made.pairs.mapInArrow(_scores(model), _SCORES), "scores")
     added = F.coalesce(F.col("times") * F.col("weight"), F.lit(0.0)).alias("s")
     few = made.weights.join(F.broadcast(docs.sparkSession.createDataFrame([(int(h),) for h in model.split.view(np.int64)], "k long")), F.col("h") == F.col("k"), "left_semi")
-    sums = [parts.where("kind = 'sum'").select("key", "s", "times"),
-            parts.where("kind = 'split'").join(F.broadcast(few), F.col("term") == F.col("h"), "left").select("key", added, F.lit(0).alias("times")),
-            parts.where("kind = 'start'").join(made.weights, F.col("term") == F.col("h"), "left").select("key", added, F.lit(0).alias("times")),
+    sums = [parts.where("kind = 'sum'").select("place", "s", "times"),
+            parts.where("kind = 'split'").join(F.broadcast(few), F.col("term") == F.col("h"), "left").select("place", added, F.lit(0).alias("times")),
+            parts.where("kind = 'start'").join(made.weights, F.col("term") == F.col("h"), "left").select("place", added, F.lit(0).alias("times")),
             parts.where("kind = 'word'").join(made.vocabulary, F.col("term") == F.col("w"), "left").select(
-                "key", (F.col("times") * F.log10(_alone(model, F.col("c")))).alias("s"), F.lit(0).alias("times"))]
+                "place", (F.col("times") * F.log10(_alone(model, F.col("c")))).alias("s"), F.lit(0).alias("times"))]
     total = sums[0]
     for more in sums[1:]:
         total = total.unionAll(more)
+    total = total.groupBy("place").agg(F.sum("s").alias("s"), F.sum("times").alias("times")).join(made.places, "place")
     # equal rows share a key: their sums and their numbers of tokens grow alike
     total = total.groupBy("key").agg(F.sum("s").alias("s"), F.sum("times").alias("met")).withColumnRenamed("key", "k")
     out = rows.join(rare.withColumnRenamed("rid", "r"), F.col("rid") == F.col("r"), "left").join(total, F.col("key") == F.col("k"), "left")

@@ -135,6 +135,20 @@ def test_katz_beats_the_unigram_on_held_out_texts(spark, sf_dir):
     assert len(rows) >= 5 and sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
+def test_katz_documents_take_few_bytes_in_a_bucket():
+    """Their keys are told once, not in every bucket they have a pair in."""
+    n = 2000
+    keys = katz.mixed(np.arange(n, dtype=np.uint64)).view(np.int64)
+    words = [f"w{i % 97}" for i in range(n)]
+    batch = pa.RecordBatch.from_pydict({"key": keys, "held": np.zeros(n, bool), "t": [f"{w} a b {w}" for w in words]})
+    model = katz.Model(5 * n, 100, n, np.zeros(katz.LARGE + 1), 0, np.zeros(0, np.uint64), np.zeros(0, np.int64), buckets=8)
+    rows = [r for b in katz._postings(model, 1)(iter([batch])) for r in b.to_pylist()]
+    dealt = [r for r in rows if r["keys"] is None]
+    assert sum(len(r["docs"]) for r in dealt) < 2 * sum(len(katz.unpack(r["docs"], "<u8")) for r in dealt)
+    told = {r["first"] + i: k for r in rows if r["keys"] is not None for i, k in enumerate(katz.unpack(r["keys"], "<u8").view(np.int64))}
+    assert sorted(told.values()) == sorted(keys) and {d for r in dealt for d in katz.unpack(r["docs"], "<u8").tolist()} == set(told)
+
+
 def test_pack():
     for kind in ("<u8", "<u4", "<i4", "u1"):
         values = np.array([0, 1, 5, 127, 1], kind)
