@@ -7,7 +7,7 @@
 2. Digests are grouped globally: rows are range-partitioned by 128-bit digest, document and position and
    sorted, so each task streams its keys; the first row of a key is its earliest occurrence, the others
    repeat it. A common key may fill several partitions: the key at a partition's start stays open and is
-   settled by a table of at most two rows per partition.
+   settled by a table of at most two rows per partition, which all rows meet.
 3. Repeats that follow each other in a document form a span; spans of at least ``min_words`` words are
    removed and reported with their offsets and the documents that keep the text.
 4. With ``run_words`` = n, every window of n words with an earlier occurrence that does not overlap it is
@@ -35,7 +35,7 @@ from civicspark.session import settled
 UNITS = {
     "line": re.compile(r"[^\n]+"),
     "paragraph": re.compile(r"(?:[^\n]|\n(?!\s*\n))+"),
-    "segment": re.compile(r"(?:[^\n.!?]|[.!?](?!\s))+[.!?]?"),
+    "segment": re.compile(r"(?:[^\n.!?]++|[.!?](?!\s))++[.!?]?"),
 }
 _WORDS = re.compile(r"\w+")
 _UNIT = "h1 long, h2 long, doc long, raw long, pos int, a int, b int, w int, words int"
@@ -52,7 +52,7 @@ def _placed_units(text: str, unit: str, least: int):
     """units() with the number of words before each."""
     at, glued, a, w = 0, [], 0, 0
     for m in UNITS[unit].finditer(text):
-        words = _WORDS.findall(m.group())
+        words = _WORDS.findall(text, m.start(), m.end())
         if len(words) >= least:
             glued = []
             yield m.start(), m.end(), len(words), _digest(words), at
@@ -98,24 +98,33 @@ def _repeats(batches):
     its keeper, since the next partition may go on with it."""
     schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc", pa.int64()), ("raw", pa.int64()), ("pos", pa.int32()),
                         ("a", pa.int32()), ("b", pa.int32()), ("w", pa.int32()), ("words", pa.int32()), ("keeper", pa.int64()), ("open", pa.bool_())])
-    key = last = keeper = None
-    edge, started = True, False
+    head, last, first = None, None, None  # the first row of the key that goes on, and the row before
     for batch in batches:
-        out = []
-        for row in zip(*(batch.column(i).to_pylist() for i in range(9)), strict=True):
-            if row == last:
-                continue  # the same document once more
-            last = row
-            if row[:2] != key:
-                edge, started = not started, True
-                key, keeper = row[:2], row
-                if not edge:
-                    continue
-            out.append((*row, None, True) if edge else (*row, keeper[2], False))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-    if key is not None and not edge:
-        yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((*keeper[:8], 0, None, True), schema, strict=True)], schema=schema)
+        if not batch.num_rows:
+            continue
+        skip = 0
+        if head is not None:
+            batch, skip = pa.Table.from_batches([head, last, batch]).combine_chunks().to_batches()[0], 2
+        no_id = batch.column("doc").is_null().to_numpy(zero_copy_only=False)
+        h1, h2, *rest = (batch.column(c).fill_null(0).to_numpy() for c in schema.names[:9])
+        begins = np.concatenate(([True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])))
+        again = ~begins  # the same document once more
+        for x in (no_id, *rest):
+            again[1:] &= x[1:] == x[:-1]
+        lead = np.flatnonzero(begins)[np.cumsum(begins) - 1]
+        first = (h1[0], h2[0]) if first is None else first
+        edge = (h1 == first[0]) & (h2 == first[1])
+        take = ~again & (edge | ~begins)
+        take[:skip] = False
+        at = np.flatnonzero(take)
+        if len(at):
+            open_, lead_at = edge[at], lead[at]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h1[at], mask=~open_), pa.array(h2[at], mask=~open_), *batch.take(pa.array(at)).columns[2:],
+                 pa.array(rest[0][lead_at], mask=open_ | no_id[lead_at]), pa.array(open_)], schema=schema)
+        head, last = batch.slice(lead[-1], 1), batch.slice(batch.num_rows - 1, 1)
+    if head is not None and (head.column("h1")[0].as_py(), head.column("h2")[0].as_py()) != first:
+        yield pa.RecordBatch.from_arrays([*head.columns[:8], pa.array([0], pa.int32()), pa.nulls(1, pa.int64()), pa.array([True])], schema=schema)
 
 
 # --- word runs -------------------------------------------------------------------------------------------
@@ -135,13 +144,15 @@ def _code_points() -> list[np.ndarray]:
     return _TABLES
 
 
-_POWERS = [np.ones(1, U64)]
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_POWERS = {_BASE: np.ones(1, U64), _INVERSE: np.ones(1, U64)}
 
 
-def _powers(n: int) -> np.ndarray:
-    if len(_POWERS[0]) < n:
-        _POWERS[0] = np.multiply.accumulate(np.concatenate(([U64(1)], np.full(2 * n, U64(0x9E3779B97F4A7C15)))))
-    return _POWERS[0][:n]
+def _powers(n: int, base: int = _BASE) -> np.ndarray:
+    if len(_POWERS[base]) < n:
+        _POWERS[base] = np.multiply.accumulate(np.concatenate(([U64(1)], np.full(2 * n, U64(base)))))
+    return _POWERS[base][:n]
 
 
 def _words_of(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -160,13 +171,21 @@ def _words_of(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _windows(h: np.ndarray, n: int) -> np.ndarray:
-    """Hash of every window of n words."""
+    """Hash of every window of n words: a difference of running sums, shifted back to the first power."""
     if len(h) < n:
         return np.zeros(0, U64)
-    out = np.zeros(len(h) - n + 1, U64)
-    for j, p in enumerate(_powers(n)):
-        out += h[j:len(h) - n + 1 + j] * p
-    return mixed(out)
+    sums = np.concatenate((np.zeros(1, U64), np.cumsum(h * _powers(len(h)))))
+    return mixed((sums[n:] - sums[:-n]) * _powers(len(h) - n + 1, _INVERSE))
+
+
+def _least(v: np.ndarray, n: int) -> np.ndarray:
+    """Place of the smallest of every n neighbours, the first of equal ones."""
+    at, span = np.arange(len(v)), 1
+    while span < n:
+        step = min(span, n - span)
+        left, right = at[:-step], at[step:]
+        at, span = np.where(v[right] < v[left], right, left), span + step
+    return at
 
 
 def _run_batch(found: list[tuple]) -> pa.RecordBatch:
@@ -206,8 +225,8 @@ def _picked(n: int):
         if len(h) < n:
             return h[:0], a[:0], a[:0], b[:0]
         v = _windows(h, k)
-        near = np.lib.stride_tricks.sliding_window_view(v, n - k + 1)
-        at = np.unique(near.argmin(axis=1) + np.arange(len(near)))
+        at = _least(v, n - k + 1)
+        at = at[np.diff(at, prepend=-1) > 0]
         return v[at], at, a[at], b[at + k - 1]
 
     return _batched(each, ["t"])
@@ -291,28 +310,10 @@ def _later(n: int):
     return rows
 
 
-_RUN_COLUMNS = ["h", "doc", "raw", "pos", "a", "b"]
-_HELD = "doc long, raw long, pos int, a int, b int, keeper long"
-
-
-def _settled_edges(edges: list[tuple], n: int):
-    """Open rows with the keeper of their key, without the keeper's own and those that overlap it."""
-    edges = sorted(edges)
-    keys, no_id, raws, spots = (np.array([e[k] for e in edges]) for k in (0, 1, 3, 4))
-    docs = np.array([e[2] or 0 for e in edges])
-
-    def rows(batches):
-        for batch in batches:
-            at = np.searchsorted(keys, batch.column("h").to_numpy())
-            doc, null = batch.column("doc").fill_null(0).to_numpy(), batch.column("doc").is_null().to_numpy(zero_copy_only=False)
-            same = (doc == docs[at]) & (null == no_id[at]) & (batch.column("raw").to_numpy() == raws[at])
-            take = np.flatnonzero(~(same & (batch.column("pos").to_numpy() - spots[at] < n)))
-            if len(take):
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.take(pa.array(take)).columns[1:], pa.array(docs[at[take]], pa.int64(), mask=no_id[at[take]])],
-                    names=["doc", "raw", "pos", "a", "b", "keeper"])
-
-    return rows
+def _first_of(seen: DataFrame, *key: str) -> DataFrame:
+    """The first occurrence of the keys of open rows, two keys a partition at most."""
+    first = F.min(F.struct(F.col("doc").isNull().alias("no_id"), F.col("doc").alias("doc"), F.col("raw").alias("raw"), F.col("pos").alias("pos")))
+    return seen.where("open").groupBy(*key).agg(first.alias("first"))
 
 
 def repeated_runs(rows: DataFrame, n: int) -> DataFrame:
@@ -326,25 +327,24 @@ def repeated_runs(rows: DataFrame, n: int) -> DataFrame:
     dense = settled(met.select("doc", "raw", "t", "at").mapInArrow(_all_around(n), _RUN), "windows")
     dealt = dense.repartitionByRange("h", *place).sortWithinPartitions("h", *place)
     seen = settled(dealt.mapInArrow(_later(n), _LATER), "later")
-    first = F.min(F.struct(F.col("doc").isNull().alias("no_id"), F.col("doc").alias("doc"), F.col("raw").alias("raw"), F.col("pos").alias("pos")))
-    edges = seen.where("open").groupBy("h").agg(first.alias("first")).select("h", "first.*").collect()  # two keys a partition at most
-    held = seen.where("open and not mark").select(_RUN_COLUMNS).mapInArrow(_settled_edges([tuple(e) for e in edges], n), _HELD)
-    columns = ["doc", "raw", "pos", "a", "b", "keeper"]
-    return seen.where("not open").select(columns).unionByName(held)
+    met = seen.join(F.broadcast(_first_of(seen, "h")), "h", "left")  # all rows, so that a common key adds none
+    near = F.col("first.doc").eqNullSafe(F.col("doc")) & (F.col("first.raw") == F.col("raw")) & (F.col("pos") - F.col("first.pos") < n)
+    return met.where(~(F.col("open") & (F.col("mark") | near))).select(
+        "doc", "raw", "pos", "a", "b", F.when(F.col("open"), F.col("first.doc")).otherwise(F.col("keeper")).alias("keeper"))
 
 
 # --- spans -----------------------------------------------------------------------------------------------
 
-def _unit_spans(found: list[dict], min_words: int):
+def _unit_spans(units_: pa.Array, min_words: int):
     """(first word, end word, start, end, units, keepers) of the spans of repeated units."""
-    run: list[dict] = []
-    for u in [*sorted(found, key=lambda u: u["pos"]), None]:
-        if run and (u is None or u["pos"] != run[-1]["pos"] + 1):
-            if sum(x["words"] for x in run) >= min_words:
-                yield run[0]["w"], run[-1]["w"] + run[-1]["words"], run[0]["a"], run[-1]["b"], len(run), {x["keeper"] for x in run}
-            run = []
-        if u is not None:
-            run.append(u)
+    pos, a, b, w, words = (units_.field(c).to_numpy() for c in ("pos", "a", "b", "w", "words"))
+    order = np.argsort(pos, kind="stable")
+    pos, a, b, w, words = pos[order], a[order], b[order], w[order], words[order]
+    cuts = np.flatnonzero(np.diff(pos) != 1) + 1
+    keeper = units_.field("keeper").take(pa.array(order))
+    for lo, hi in zip([0, *cuts], [*cuts, len(pos)], strict=True):
+        if words[lo:hi].sum() >= min_words:
+            yield int(w[lo]), int(w[hi - 1] + words[hi - 1]), int(a[lo]), int(b[hi - 1]), int(hi - lo), set(keeper.slice(lo, hi - lo).unique().to_pylist())
 
 
 def _run_spans(runs: pa.Array, n: int):
@@ -362,9 +362,9 @@ def _spans(min_words: int, n: int):
     def rows(batches):
         for batch in batches:
             out = []
-            lists = batch.column("runs")
-            for i, (doc, raw, found) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc", "raw", "found")), strict=True)):
-                spans = list(_unit_spans(found or [], min_words))
+            found, lists = batch.column("found"), batch.column("runs")
+            for i, (doc, raw) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc", "raw")), strict=True)):
+                spans = list(_unit_spans(found[i].values, min_words)) if found[i].is_valid and len(found[i].values) else []
                 if lists[i].is_valid and len(lists[i].values):
                     spans += _run_spans(lists[i].values, n)
                 merged: list[list] = []
@@ -393,13 +393,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     place = [F.col("doc").asc_nulls_last(), "raw", "pos"]
     dealt = hashed.repartitionByRange("h1", "h2", *place).sortWithinPartitions("h1", "h2", *place, "a", "b", "w", "words")
     seen = settled(dealt.mapInArrow(_repeats, _SEEN), "repeats")
-    first = F.min(F.struct(F.col("doc").isNull().alias("no_id"), F.col("doc").alias("doc"), F.col("raw").alias("raw"), F.col("pos").alias("pos")))
-    edges = seen.where("open").groupBy("h1", "h2").agg(first.alias("first"))  # two keys a partition at most
-    held = seen.where("open and words > 0").drop("keeper").join(F.broadcast(edges), ["h1", "h2"])
+    met = seen.join(F.broadcast(_first_of(seen, "h1", "h2")), ["h1", "h2"], "left")
     same = F.col("first.doc").eqNullSafe(F.col("doc")) & (F.col("first.raw") == F.col("raw")) & (F.col("first.pos") == F.col("pos"))
-    held = held.where(~same).withColumn("keeper", F.col("first.doc"))
-    columns = ["doc", "raw", "pos", "a", "b", "w", "words", "keeper"]
-    gone = seen.where("not open").select(columns).unionByName(held.select(columns))
+    gone = met.where(~(F.col("open") & ((F.col("words") == 0) | same))).select(
+        "doc", "raw", "pos", "a", "b", "w", "words", F.when(F.col("open"), F.col("first.doc")).otherwise(F.col("keeper")).alias("keeper"))
     unit_row = F.struct("pos", "a", "b", "w", "words", "keeper")
     run_row = F.struct("pos", "a", "b", "keeper")
     if run_words is not None:

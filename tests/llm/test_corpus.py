@@ -205,6 +205,22 @@ def test_hot_run_over_many_partitions(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+def test_open_rows_are_settled_by_a_join_of_all_rows(spark):
+    """The rows of a common key over many partitions make no join larger than its input."""
+    df = table(spark, [(k, prose(k % 7, 70), "en", "a") for k in range(60)])
+    plan = passages.repeated_spans(df, min_words=1, run_words=50)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 2 and "Join Inner" not in plan
+
+
+@pytest.mark.parametrize("size", [1, 3, 100])
+def test_repeats_of_batches_of_any_size(size):
+    rows = [(k, 1, doc, 5, pos, 0, 9, 0, 4) for k in (3, 4, 9) for doc, pos in ((1, 0), (1, 0), (1, 2), (2, 0), (None, 1), (None, 1))]
+    batches = pa.table(dict(zip(["h1", "h2", "doc", "raw", "pos", "a", "b", "w", "words"], zip(*rows, strict=True), strict=True))).to_batches(max_chunksize=size)
+    got = [tuple(r.values()) for b in passages._repeats(iter(batches)) for r in b.to_pylist()]
+    want = [(*rows[i], None, True) for i in (0, 2, 3, 4)] + [(None, None, *rows[i][2:], 1, False) for k in (6, 12) for i in (k + 2, k + 3, k + 4)]
+    assert got == [*want, (9, 1, 1, 5, 0, 0, 9, 0, 0, None, True)]
+
+
 # --- lines -----------------------------------------------------------------------------------------------
 
 def kept_by_brute_force(rows, least=20, docs=3):
