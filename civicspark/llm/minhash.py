@@ -208,7 +208,7 @@ def overlaps(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     total = np.zeros((len(sizes), len(sizes)), np.int64)
     order = np.argsort(code, kind="stable")
     rows, code = rows[order], code[order]
-    width = 4096
+    width = 1024
     for start in range(0, int(code[-1]) + 1 if len(code) else 0, width):
         lo, hi = np.searchsorted(code, [start, start + width])
         x = np.zeros((len(sizes), width), np.float32)

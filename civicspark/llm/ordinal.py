@@ -32,7 +32,7 @@ TRIGRAMS, SHAPES = 4096, 512
 DIMS = TRIGRAMS + SHAPES
 SAMPLE = 4000
 CHUNK = 1 << 20
-ROWS = 512  # rows times DIMS in a dense block
+ROWS = 64  # rows times DIMS in a dense block, which a worker holds several times
 _CLASS = np.full(256, 3, np.uint8)  # punctuation and other ASCII
 _CLASS[97:123] = 0
 _CLASS[65:91] = 1

@@ -4,6 +4,7 @@ clashing column names."""
 import hashlib
 import heapq
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -114,6 +115,16 @@ def test_sharding(spark, odd):
     assert sharding.assign_shards(empty(spark), 4).count() == 0
 
 
+def test_dense_blocks_of_the_classifier_stay_small():
+    short = pa.array([f"a few short words {k}" for k in range(3000)])
+    tracemalloc.start()
+    try:
+        ordinal.score_texts(short, np.ones(ordinal.DIMS, np.float32))
+        assert tracemalloc.get_traced_memory()[1] < 24 << 20
+    finally:
+        tracemalloc.stop()
+
+
 # --- passages --------------------------------------------------------------------------------------------
 
 def test_passages_against_brute_force(spark):
