@@ -109,20 +109,26 @@ def capabilities(registry: DataFrame, features: DataFrame, stats: DataFrame, res
                  categories: DataFrame) -> DataFrame:
     """Per active dataset: row counts and distinct kinds, types, metrics and years in every store.
 
-    Each store is pre-aggregated to one row per dataset. Statistics are first reduced to (dataset,
-    class, metric, year), so the distinct counts run on few rows."""
+    Each store is pre-aggregated to one row per dataset. Statistics are first reduced to (dataset, mark), a
+    mark being a metric or a year of the city, so distinct counts are plain counts of those rows and no
+    row is copied once per distinct count. Marks are dealt out to all shuffle partitions of the session before they
+    are grouped, so that a task only holds its part of them, however the rows lie in their files."""
     geo_part = features.groupBy("dataset_id").agg(
         F.count(F.lit(1)).alias("geo_n"), sorted_set(geo.geom_kind(F.col("geom_type"))).alias("geomkinds"),
         sorted_set("feature_type").alias("ftypes"), sorted_set("year").alias("gyears"))
-    cls = F.when(F.col("spatial_unit") == "city", "city").when(
-        F.col("spatial_unit").isin("ortsteil", "stadtbezirk", "wahlbezirk") & F.col("spatial_code").isNotNull(), "ort")
-    small = stats.select("dataset_id", cls.alias("cls"), "metric_name", "period_year").where("cls is not null").groupBy(
-        "dataset_id", "cls", "metric_name", "period_year").agg(F.count(F.lit(1)).alias("n"))
-    of = lambda c, v: F.when(F.col("cls") == c, v)
+    city = F.col("spatial_unit") == "city"
+    ort = F.col("spatial_unit").isin("ortsteil", "stadtbezirk", "wahlbezirk") & F.col("spatial_code").isNotNull()
+    one = lambda mark, o, c: F.struct(mark.alias("mark"), o.cast("int").alias("ort"), c.cast("int").alias("city"))
+    metric = F.coalesce(F.concat(F.lit("m"), "metric_name"), F.lit("n"))  # n: counts as a row, not as a metric
+    year = F.when(city & F.col("period_year").isNotNull(), one(F.concat(F.lit("y"), "period_year"), F.lit(0), F.lit(0)))
+    tasks = int(stats.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    small = stats.where(city | ort).select("dataset_id", F.inline(F.array_compact(F.array(one(metric, ~city, city), year)))).repartition(
+        tasks, "dataset_id", "mark").groupBy("dataset_id", "mark").agg(F.sum("ort").alias("ort"), F.sum("city").alias("city"))
+    named = F.col("mark").startswith("m")
     stat_part = small.groupBy("dataset_id").agg(
-        F.sum(of("ort", F.col("n"))).alias("ort_n"), F.count_distinct(of("ort", F.col("metric_name"))).alias("ort_metrics"),
-        F.sum(of("city", F.col("n"))).alias("city_n"), F.count_distinct(of("city", F.col("metric_name"))).alias("city_metrics"),
-        F.count_distinct(of("city", F.col("period_year"))).alias("city_years"))
+        F.sum("ort").alias("ort_n"), F.count_if(named & (F.col("ort") > 0)).alias("ort_metrics"),
+        F.sum("city").alias("city_n"), F.count_if(named & (F.col("city") > 0)).alias("city_metrics"),
+        F.count_if(F.col("mark").startswith("y")).alias("city_years"))
     works = restrictions.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("traffic_n"))
     out = registry.where("is_active").join(geo_part, "dataset_id", "left").join(stat_part, "dataset_id", "left").join(
         works, "dataset_id", "left").join(best_theme(registry, categories), "dataset_id", "left")

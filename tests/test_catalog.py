@@ -26,6 +26,24 @@ def test_category_steps(spark):
         ("d", "sonstiges", "fallback"), ("e", "sonstiges", "fallback")]
 
 
+def test_capabilities_count_marks_of_statistics(spark, capsys):
+    stats = spark.createDataFrame([
+        ("1", "city", None, "m", 2020), ("1", "city", None, "m", 2021), ("1", "city", "9", "k", 2021), ("1", "city", None, None, None),
+        ("1", "ortsteil", "01", "m", 2022), ("1", "ortsteil", "01", "m", 2022), ("1", "wahlbezirk", "02", None, 2023), ("1", "stadtbezirk", None, "x", 2024),
+        ("1", "nation", "1", "x", 2024), ("2", "city", None, "m", None), (None, "city", None, "m", 2020), ("3", "ortsteil", "01", "y2020", 2020)],
+        "dataset_id string, spatial_unit string, spatial_code string, metric_name string, period_year int")
+    registry = spark.createDataFrame([(d, True, ["t"]) for d in "1234"], "dataset_id string, is_active boolean, categories array<string>")
+    features = spark.createDataFrame([], "dataset_id string, geom_type string, feature_type string, year int")
+    themes = spark.createDataFrame([("t", 1)], "category_id string, position int")
+    caps = ct.capabilities(registry, features, stats, spark.createDataFrame([], "dataset_id string"), themes)
+    got = {r["dataset_id"]: tuple(r)[1:] for r in caps.select(
+        "dataset_id", "ort_n", "ort_metrics", "city_n", "city_metrics", "city_years").collect()}
+    assert got == {"1": (3, 1, 4, 2, 2), "2": (0, 0, 1, 1, 0), "3": (1, 1, 0, 0, 0), "4": (0, 0, 0, 0, 0)}
+    # no row is copied once per distinct count
+    caps.explain()
+    assert "Expand" not in capsys.readouterr().out
+
+
 def test_indicator_folding(spark):
     rows = [("1", "Arbeitslose (kleinräumig)", "Arbeit", "Frauen", None, 1), ("2", "Einwohner", "Demografie", "Frauen", "Personen", 2),
             ("3", "Löhne", "Arbeit", "Lohn in Euro", None, 3), ("4", "Löhne (Quartal)", "Wirtschaft", "Lohn", None, 4)]
