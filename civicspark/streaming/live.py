@@ -81,27 +81,6 @@ class _Newest(StatefulProcessor):
         pass
 
 
-class _First(StatefulProcessor):
-    """Passes the first row of a key on; the key is remembered as long as it keeps coming."""
-
-    def __init__(self, ttl: int | None):
-        self.ttl = ttl
-
-    def init(self, handle) -> None:
-        self.met = handle.getValueState("met", "yes boolean", self.ttl)
-
-    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
-        row, known = next(rows), self.met.exists()
-        for _ in rows:
-            pass
-        self.met.update((True,))
-        if not known:
-            yield row
-
-    def close(self) -> None:
-        pass
-
-
 def _millis(ttl: str | None) -> int | None:
     return None if ttl is None else int(SparkSession.active().sql(f"SELECT unix_millis(timestamp '1970-01-01 00:00:00Z' + INTERVAL {ttl}) AS m").first()["m"])
 
@@ -123,6 +102,19 @@ def _with_state(stream: DataFrame, keys: list[str], processor, ttl: str | None)
     return out.withColumns({c: F.timestamp_micros(c) for c in moments})
 
 
+def _first_of_keys(stream: DataFrame, keys: list[str], ttl: int) -> DataFrame:
+    """The first row of every key, by Spark's own deduplication: no row and no call to the state goes through Python.
+
+    Processing time is cut into spans of ``ttl`` milliseconds. A row claims its key for the span it comes in and
+    for the next one; the first claim of a key and span wins. A row passes if it wins the span it comes in, so a key
+    that was claimed ahead stays out and, by its repeats, claims the next span again."""
+    span = F.floor(F.unix_millis("_arrived") / ttl)  # the time of a batch, the same when a batch is repeated
+    claims = stream.withColumn("_arrived", F.current_timestamp()).withColumn(
+        "_ahead", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_span", span + F.col("_ahead"))
+    won = claims.withWatermark("_arrived", f"{2 * ttl} milliseconds").dropDuplicatesWithinWatermark([*keys, "_span"])
+    return won.where("_ahead = 0").drop("_arrived", "_ahead", "_span")
+
+
 def append_sink(stream: DataFrame, path: str, parts: list[str] | None = None) -> DataStreamWriter:
     """Plain append with the exactly-once file sink."""
     writer = stream.writeStream.format("parquet").option("path", path).outputMode("append")
@@ -174,12 +166,12 @@ def keyed_sink(stream: DataFrame, path: str, keys: list[str], order: Callable[[]
 
 def unique_readings(stream: DataFrame, keys: list[str], ts: str, delay: str | None = None, ttl: str | None = None) -> DataFrame:
     """Each reading once, although the feed repeats its window. All keys are remembered, so a row of any
-    age counts. ``ttl`` forgets keys the feed has not repeated for that time, which bounds the state by the window
-    of the feed and drops no late row (needs :func:`stream_session`). A ``delay`` bounds it by event time
+    age counts. ``ttl`` forgets keys the feed has not repeated for that time (processing time; at the latest after twice
+    that time), which bounds the state by the window of the feed and drops no late row. A ``delay`` bounds it by event time
     where older rows cannot come, and drops them if they do."""
     timed = stream.where(F.col(ts).isNotNull())
     if ttl:
-        return _with_state(timed, keys, lambda schema: _First(_millis(ttl)), ttl)
+        return _first_of_keys(timed, keys, _millis(ttl))
     return timed.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys) if delay else timed.dropDuplicates(keys)
 
 

@@ -50,6 +50,27 @@ def test_history_is_unique_across_batches(spark, tmp_path):
     assert got == sorted({r for b in BATCHES for r in b if r[1] is not None})
 
 
+def test_history_with_expiry_runs_without_python(spark, tmp_path, monkeypatch, capsys):
+    # one reading a day, but for day 3, under keys that expire after a day: repeats keep a key alive beyond its first day
+    moment = lambda day: F.lit(at(day, 6)).cast("timestamp")
+    own, out = live.stream_session(spark, 2), str(tmp_path / "out")
+    passed = []
+    for day, rows in enumerate(([("a", at(1), 1), ("a", at(1), 1), ("b", at(1), 2)], [("a", at(1), 1), ("c", None, 3)], [("a", at(1), 1), (None, at(1), 4)],
+                                [], [("a", at(1), 1), ("b", at(1), 2)]), 1):
+        if not rows:
+            continue
+        spark.createDataFrame(rows, DDL).coalesce(1).write.parquet(f"{tmp_path}/in/f{day}")
+        monkeypatch.setattr(live.F, "current_timestamp", lambda day=day: moment(day))
+        once = live.unique_readings(live.file_feed(own, f"{tmp_path}/in/*", DDL), ["site_id", "measured_at"], "measured_at", ttl="1 DAY")
+        drain(live.append_sink(once, out), tmp_path)
+        passed.append(sorted((r["site_id"] or "", r["v"]) for r in spark.read.parquet(out).collect()))
+    assert once.columns == ["site_id", "measured_at", "v"]
+    assert passed == [[("a", 1), ("b", 2)], [("a", 1), ("b", 2)], [("", 4), ("a", 1), ("b", 2)],
+                      [("", 4), ("a", 1), ("a", 1), ("b", 2), ("b", 2)]]
+    once.explain()
+    assert "InPySpark" not in capsys.readouterr().out
+
+
 def test_daily_totals_count_late_readings(spark, tmp_path):
     daily = live.daily_totals(feed(spark, tmp_path, *BATCHES).where("measured_at is not null"), "site_id", "measured_at", F.col("v"))
     out = str(tmp_path / "out")
